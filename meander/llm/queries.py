@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_classifier, quality_rules, simhash
+from . import chat, decontaminate, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, url_filter, warc
 from .common import read
 
 
@@ -14,6 +14,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(read(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read(spark, sf_dir, "conversations"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
@@ -26,13 +34,38 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(read(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.report(read(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+ALL = (
+    op1_quality_classifier, op2_jump_sharding, op3_chat_formatting, op4_simhash_dedup, op5_decontaminate, op6_best_fit_packing,
+    op7_secret_scan, op8_quality_rules, op9_url_filter, op10_warc, pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_simhash_dedup, op5_decontaminate, op6_best_fit_packing, op8_quality_rules)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it. Some more columns than the contract asks for are in both."""
+    return {"op3_chat_formatting": chat.oracle(), "op9_url_filter": url_filter.oracle()}
