@@ -84,7 +84,7 @@ class WordTable:
         if len(self.place) > self.limit:
             self.clear()
         place = self.place
-        new = list(dict.fromkeys(w for w in words if w not in place))
+        new = list(set(words).difference(place))
         if new:
             n = len(place)
             found = self.values(new)

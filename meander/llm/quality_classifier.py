@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordTable, chunks, texts_of
+from .common import WordTable, chunks, sums, texts_of
 
 BUCKETS, DIMENSION, GRAMS = 1 << 16, 8, (3, 4, 5)
 SAMPLE, EPOCHS, BATCH, RATE, SEED = 3000, 12, 16, 0.05, 7
@@ -167,12 +167,13 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
         for batch in batches:
             out = np.full(batch.num_rows, float(bias))
             for first, part in chunks(texts_of(batch, "__quality_text")):
-                for i, raw in enumerate(part, first):
-                    words = raw.split()
-                    if words:
-                        total, count = table(words)
-                        again = AGAIN_TIMES * repeats(words)
-                        out[i] += (total.sum() + again * weight[AGAIN]) / (count.sum() + again)
+                split = [raw.split() for raw in part]
+                own = [i for i, words in enumerate(split) if words]
+                if own:
+                    total, count = table([w for i in own for w in split[i]])
+                    length = np.array([len(split[i]) for i in own])
+                    again = np.array([AGAIN_TIMES * repeats(split[i]) for i in own])
+                    out[np.array(own) + first] += (sums(total, length) + again * weight[AGAIN]) / (sums(count, length) + again)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-out)))], ["k", "score"])
 
     some = docs.select(F.col(key).alias("k"), F.col(text).alias("__quality_text"))
