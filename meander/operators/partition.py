@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import BLOCK, Graph
 
 
 def normalise(labels: DataFrame, v: str = "v", label: str = "scc") -> DataFrame:
     """(v, label): classes numbered from 0 in the order in which their first vertex comes. Unlabelled vertices are left out.
 
-    Only classes are ranked, one row each, by their smallest vertex.
+    Only classes are ranked, one row each, by their smallest vertex: within ranges of BLOCK ids, and ranges by their sizes.
     """
     some = labels.where(F.col(label).isNotNull())
-    first = some.groupBy(label).agg(F.min(v).alias("rep"))
-    ranked = first.select(label, (F.row_number().over(Window.orderBy("rep")) - 1).cast("long").alias("rank"))
+    first = some.groupBy(label).agg(F.min(v).alias("rep")).withColumn("block", F.floor(F.col("rep") / BLOCK))
+    inside = first.withColumn("in_block", F.row_number().over(Window.partitionBy("block").orderBy("rep")))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = first.groupBy("block").agg(F.count("*").alias("size")).select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    ranked = inside.join(shift, "block").select(label, (F.col("shift") + F.col("in_block") - 1).alias("rank"))
     return some.join(ranked, label).select(v, F.col("rank").alias("label"))
 
 
