@@ -81,7 +81,7 @@ def graph_stats(graph: Graph) -> DataFrame:
     own = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
     edges = own.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n_edges"), F.coalesce(F.sum(F.when(F.col("src") == F.col("dst"), F.col("times"))), F.lit(0)).alias("self_loops"), F.coalesce(F.sum(F.col("times") - 1), F.lit(0)).alias("repeated_edges"))
     top = degrees(graph).agg(F.count("*").alias("n_vertices"), F.max(F.struct((F.col("out_degree") + F.col("in_degree")).alias("d"), (-F.col("v")).alias("v"))).alias("m"))
-    return edges.join(top, how="cross").select("n_vertices", "n_edges", "self_loops", "repeated_edges", F.col("m.d").alias("max_degree"), (-F.col("m.v")).alias("pivot"))
+    return edges.join(top, how="cross").select("n_vertices", "n_edges", "self_loops", "repeated_edges", F.col("m.d").alias("max_degree"), (-F.col("m.v")).alias("top_vertex"))
 
 
 def pivot(graph: Graph, within: DataFrame | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ DEGREES = """deg AS (SELECT v.v, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS
   LEFT JOIN (SELECT src, count(*) AS o FROM e GROUP BY 1) a ON a.src = v.v LEFT JOIN (SELECT dst, count(*) AS i FROM e GROUP BY 1) b ON b.dst = v.v)"""
 CLOSURE = "r(s, d) AS (SELECT v, v FROM v UNION SELECT r.s, e.dst FROM r JOIN e ON r.d = e.src)"
 SCC = f"{CLOSURE}, scc AS (SELECT a.s AS v, min(a.d) AS scc FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY 1)"
-PIVOT = f"{DEGREES}, pivot AS (SELECT v, out_degree + in_degree AS degree FROM deg ORDER BY degree DESC, v LIMIT 1)"
+PIVOT = f"{DEGREES}, top AS (SELECT v, out_degree + in_degree AS degree FROM deg ORDER BY degree DESC, v LIMIT 1)"
 CORE = """p(s, d) AS (SELECT src, dst FROM e UNION SELECT p.s, e.dst FROM p JOIN e ON p.d = e.src), cyc AS (SELECT s AS v FROM p WHERE s = d),
   down AS (SELECT v FROM cyc UNION SELECT d FROM p JOIN cyc ON p.s = cyc.v), up AS (SELECT v FROM cyc UNION SELECT s FROM p JOIN cyc ON p.d = cyc.v),
   core AS (SELECT v FROM down INTERSECT SELECT v FROM up)"""
@@ -131,10 +131,10 @@ for _name in SQL:
     query(with_graph(_name, "SELECT src, to_json(list_sort(list(dst))) AS neighbors FROM e GROUP BY src"), f"adjacency_{_name.lower()}")(lambda s, d, n=_name: g.adjacency(derived(s, d, n)).select("src", F.to_json("neighbors").alias("neighbors")))
     query(with_graph(_name, f", {DEGREES} SELECT v, CAST(sum(out_degree) OVER (ORDER BY v) - out_degree AS BIGINT) AS off FROM deg UNION ALL SELECT (SELECT count(*) FROM v), (SELECT count(*) FROM e)"), f"csr_offsets_{_name.lower()}")(lambda s, d, n=_name: g.csr_offsets(derived(s, d, n)))
     query(
-        with_graph(_name, f", {PIVOT} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e WHERE src = dst) AS self_loops, CAST(0 AS BIGINT) AS repeated_edges, degree AS max_degree, v AS pivot FROM pivot"),
+        with_graph(_name, f", {PIVOT} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e WHERE src = dst) AS self_loops, CAST(0 AS BIGINT) AS repeated_edges, degree AS max_degree, v AS top_vertex FROM top"),
         f"graph_stats_{_name.lower()}",
     )(lambda s, d, n=_name: g.graph_stats(derived(s, d, n)))
-    query(with_graph(_name, f", {PIVOT} SELECT * FROM pivot"), f"pivot_{_name.lower()}")(lambda s, d, n=_name: g.pivot(derived(s, d, n)))
+    query(with_graph(_name, f", {PIVOT} SELECT * FROM top"), f"pivot_{_name.lower()}")(lambda s, d, n=_name: g.pivot(derived(s, d, n)))
     query(with_graph(_name, "SELECT (SELECT max(greatest(src, dst)) FROM e) AS max_v, (SELECT count(*) FROM e) AS n_edges"), f"max_vertex_{_name.lower()}")(lambda s, d, n=_name: g.max_vertex(derived(s, d, n).edges))
 
 # ---- reachability
@@ -190,7 +190,7 @@ for _method, _names in {"tarjan": "ACD", "hybrid": "ACD", "colouring": "AD", "bg
         query(with_graph(_name, f", {SCC} SELECT * FROM scc"), f"scc_{_method}_{_name.lower()}")(lambda s, d, n=_name, m=_method: scc(derived(s, d, n), m))
 
 for _name in ("A", "C"):
-    query(with_graph(_name, f", {SCC}, {PIVOT} SELECT * FROM scc WHERE scc = (SELECT scc FROM scc JOIN pivot USING (v))"), f"giant_scc_{_name.lower()}")(lambda s, d, n=_name: big_scc(derived(s, d, n)))
+    query(with_graph(_name, f", {SCC}, {PIVOT} SELECT * FROM scc WHERE scc = (SELECT scc FROM scc JOIN top USING (v))"), f"giant_scc_{_name.lower()}")(lambda s, d, n=_name: big_scc(derived(s, d, n)))
     query(with_graph(_name, f", {SCC}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY 1) SELECT count(*) AS num_sccs, max(size) AS max_scc_size, count(*) FILTER (size = 1) AS singletons FROM z"), f"scc_summary_{_name.lower()}")(lambda s, d, n=_name: partition.summary(scc(derived(s, d, n))))
     query(with_graph(_name, f", {SCC} SELECT scc, count(*) AS size FROM scc GROUP BY 1"), f"scc_sizes_{_name.lower()}")(lambda s, d, n=_name: partition.sizes(scc(derived(s, d, n))))
     query(with_graph(_name, f", {SCC}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY 1) SELECT size, count(*) AS components FROM z GROUP BY 1"), f"scc_histogram_{_name.lower()}")(lambda s, d, n=_name: partition.histogram(scc(derived(s, d, n))))

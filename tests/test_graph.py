@@ -126,7 +126,7 @@ def test_degrees_offsets_adjacency(spark):
     assert [tuple(r) for r in g.csr_offsets(graph).orderBy("v").collect()] == [(0, 0), (1, 3), (2, 5), (3, 5)]
     assert {r["src"]: r["neighbors"] for r in g.adjacency(graph).collect()} == {0: [1, 1, 1], 1: [0, 2]}
     one = g.graph_stats(graph).first()
-    assert (one["n_vertices"], one["n_edges"], one["self_loops"], one["repeated_edges"], one["max_degree"], one["pivot"]) == (3, 5, 0, 2, 5, 1)
+    assert (one["n_vertices"], one["n_edges"], one["self_loops"], one["repeated_edges"], one["max_degree"], one["top_vertex"]) == (3, 5, 0, 2, 5, 1)
 
 
 def test_reach(spark):
