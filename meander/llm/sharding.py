@@ -7,9 +7,11 @@ written in two halves, as SQL integers do not wrap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: Fixed value: the multiplier of the generator of jump consistent hashing.
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -67,8 +69,6 @@ def slots(sharded: DataFrame, by: list[str], shard: str = "shard", groups: int =
     counted = sharded.groupBy(*names).agg(F.count("*").alias("__times")).withColumn("__group", F.pmod(F.xxhash64(*by), F.lit(groups)))
     # Sizes are summed and running totals taken over numbers of groups only, within each shard.
     sizes = counted.groupBy(shard, "__group").agg(F.sum("__times").alias("__size"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(shard).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select(shard, "__group", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy(shard, "__group").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,18 +82,6 @@ def report(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row. A null text has size 1 and the crc32 of nothing."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     some = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
-    placed = slots(assign(some, shards), ["doc_id", "size", "text_crc32"])
+    # Slots take two passes over the rows: they are written once without their texts.
+    placed = slots(stash(assign(some, shards), "sharded"), ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", jump(key_of(docs, "doc_id"), shards + 1).alias("grown_shard"))
-
-
-def oracle(shards: int = 16) -> str:
-    """The same in SQL but for the place of a row in its shard, which follows the order of a hash: see `report_without_slots`."""
-    return f"""
-WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
-w(doc_id, b, j, k) AS (
-  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CASE WHEN coalesce(doc_id, 0) < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE CAST(coalesce(doc_id, 0) AS HUGEINT) END FROM documents
-  UNION ALL
-  SELECT doc_id, j, CAST(floor(CAST(j + 1 AS DOUBLE) * (2147483648.0 / (((k * {MULTIPLIER} + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE)) AS BIGINT), (k * {MULTIPLIER} + 1) % 18446744073709551616
-  FROM w WHERE j <= {shards}),
-s AS (SELECT doc_id, CAST(max(j) FILTER (j < {shards}) AS INTEGER) AS shard, CAST(max(j) FILTER (j < {shards + 1}) AS INTEGER) AS grown_shard FROM w GROUP BY doc_id)
-SELECT d.doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, shard, grown_shard FROM d JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id"""
