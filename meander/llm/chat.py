@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: What must not stand in a text as it is, after its first character.
-CONTROL = r"(?:\||/?s>|/?INST\]|</?SYS>>|/?SYS>>)"
+CONTROL = r"(?:\||/?s>|/?INST\]|/?SYS>>)"
 ESCAPE = re.compile(r"([<\[])(?=\\*" + CONTROL + ")")
 UNESCAPE = re.compile(r"([<\[])\\(?=\\*" + CONTROL + ")")
 TURN_TEXT = re.compile(re.escape(TURN) + r"(.*?)" + re.escape(SAYS) + r"(.*?)" + re.escape(END) + "\n", re.S)
@@ -190,7 +190,7 @@ def report(conversations: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same rows in SQL: escapes are counted by a pattern that takes in what follows."""
-    pattern = r"[<\[](\\*(\||/?s>|/?INST\]|</?SYS>>|/?SYS>>))"
+    pattern = r"[<\[](\\*(\||/?s>|/?INST\]|/?SYS>>))"
     frame = len(TURN) + len(SAYS) + len(END) + 1
     return f"""
 WITH c AS (
