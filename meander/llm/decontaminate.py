@@ -184,14 +184,17 @@ def blocks_of(items: DataFrame, item_id: str, text: str, block_bytes: int) -> It
 SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 ARROW_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 #: Columns that scan() adds; the prefix keeps them apart from columns of the documents.
-TEXT, N_WORDS, HIT_SPANS, HIT_ITEMS = "__decon_text", "__decon_n_words", "__decon_spans", "__decon_items"
+TEXT, N_WORDS, HIT_SPANS, HIT_ITEMS, CUT = "__decon_text", "__decon_n_words", "__decon_spans", "__decon_items", "__decon_cut"
 
 
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, most_covered: float | None = None) -> DataFrame:
     """Columns `keep` of every document, and N_WORDS, HIT_SPANS (merged, in words, [from, to)) and HIT_ITEMS (sorted ids).
 
     Null and empty texts have no words. A null item id counts as the empty string; items without words match nothing;
     items of one id are one item with several texts. Each document is matched whole, whatever its length.
+
+    With most_covered, documents of which more than this share of words is hit are left out, spans are cut from the text
+    of the others, and CUT says whether they were.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
@@ -203,36 +206,56 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
             automata = []
     if automata or not groups:
         groups.append(spark.sparkContext.broadcast(automata))
-    out = docs.select(*[docs[c] for c in keep], docs[text].alias(TEXT), F.lit(None).cast(SPANS).alias(HIT_SPANS), F.lit(None).cast(T.ArrayType(T.StringType())).alias(HIT_ITEMS))
-    kind = T.StructType([*out.schema.fields, T.StructField(N_WORDS, T.LongType())])
-    for group in groups:
-        out = out.drop(N_WORDS).mapInArrow(_scanner(group), kind)
+    own = [docs[c] for c in keep]
+    if most_covered is None:
+        own.append(docs[text].alias(TEXT))
+        text = TEXT
+    out = docs.select(*own, F.lit(None).cast(SPANS).alias(HIT_SPANS), F.lit(None).cast(T.ArrayType(T.StringType())).alias(HIT_ITEMS))
+    kind = T.StructType([*out.schema.fields, T.StructField(N_WORDS, T.LongType()), T.StructField(CUT, T.BooleanType())])
+    for k, group in enumerate(groups, 1):
+        out = out.drop(N_WORDS, CUT).mapInArrow(_scanner(group, text, most_covered if k == len(groups) else None), kind)
     return out.drop(TEXT)
 
 
-def _scanner(group):
-    """Adds the hits of one broadcast of automata to those that earlier passes have found."""
+#: Rows that are held and given on at a time.
+ROWS = 1000
+
+
+def _scanner(group, text: str, most_covered: float | None):
+    """Adds the hits of one broadcast of automata to those that earlier passes have found, and cuts if it is the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = group.value
-        for batch in batches:
-            names = batch.schema.names
-            texts = texts_of(batch, TEXT)
-            old_spans, old_items = (batch.column(names.index(c)).to_pylist() for c in (HIT_SPANS, HIT_ITEMS))
-            n_words, spans, items = [], [], []
-            for raw, some_spans, some_items in zip(texts, old_spans, old_items, strict=True):
-                words = words_of(raw) if raw else []
-                got = [(x["a"], x["b"]) for x in some_spans or ()]
-                ids = set(some_items or ())
-                for automaton in automata:
-                    a, b = automaton.hits(words)
-                    got += a
-                    ids |= b
-                n_words.append(len(words))
-                spans.append([{"a": a, "b": b} for a, b in merged(got)])
-                items.append(sorted(ids))
-            made = {HIT_SPANS: pa.array(spans, ARROW_SPANS), HIT_ITEMS: pa.array(items, pa.list_(pa.string())), N_WORDS: pa.array(n_words, pa.int64())}
-            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(k)) for k, n in enumerate(names)] + [made[N_WORDS]], [*names, N_WORDS])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                yield part(whole.slice(start, ROWS), automata)
+
+    def part(batch: pa.RecordBatch, automata: list[Automaton]) -> pa.RecordBatch:
+        names = batch.schema.names
+        texts = texts_of(batch, text)
+        old_spans, old_items = (batch.column(names.index(c)).to_pylist() for c in (HIT_SPANS, HIT_ITEMS))
+        n_words, spans, items, stays, cut = [], [], [], [], []
+        for i, (raw, some_spans, some_items) in enumerate(zip(texts, old_spans, old_items, strict=True)):
+            words = words_of(raw) if raw else []
+            got = [(x["a"], x["b"]) for x in some_spans or ()]
+            ids = set(some_items or ())
+            for automaton in automata:
+                a, b = automaton.hits(words)
+                got += a
+                ids |= b
+            got = merged(got)
+            n_words.append(len(words))
+            spans.append([{"a": a, "b": b} for a, b in got])
+            items.append(sorted(ids))
+            stays.append(most_covered is None or sum(b - a for a, b in got) <= most_covered * len(words))
+            cut.append(most_covered is not None and bool(got) and stays[-1])
+            if cut[-1]:
+                texts[i] = without(raw, got)
+        made = {HIT_SPANS: pa.array(spans, ARROW_SPANS), HIT_ITEMS: pa.array(items, pa.list_(pa.string())), N_WORDS: pa.array(n_words, pa.int64()), CUT: pa.array(cut, pa.bool_())}
+        if any(cut):
+            made[text] = pa.array(texts, pa.binary()).cast(batch.schema.field(text).type)
+        out = pa.RecordBatch.from_arrays([made.get(n, batch.column(k)) for k, n in enumerate(names)] + [made[N_WORDS], made[CUT]], [*names, N_WORDS, CUT])
+        return out if all(stays) else out.filter(pa.array(stays))
 
     return run
 
@@ -257,34 +280,12 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", most_covered: f
     Columns and other rows stay as they are, null and empty texts included; n_chars, where there is one, follows a text
     that was cut. The cut takes the bytes from a span's first word to its last.
     """
-    hit = scan(docs, items, text=text, window=window)
-    n_hit = F.aggregate(HIT_SPANS, F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    kept = hit.where(n_hit <= F.lit(most_covered) * F.col(N_WORDS)).drop(N_WORDS, HIT_ITEMS)
-    schema = docs.schema
-    out = kept.mapInArrow(_cutter(text), T.StructType([*schema.fields, T.StructField("__decon_cut", T.BooleanType())]))
+    out = scan(docs, items, text=text, window=window, most_covered=most_covered)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__decon_cut"), F.char_length(F.col(text)).cast(schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(CUT), F.char_length(F.col(text)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def _cutter(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [n for n in batch.schema.names if n != HIT_SPANS]
-            spans = batch.column(batch.schema.names.index(HIT_SPANS)).to_pylist()
-            cut = [bool(s) for s in spans]
-            columns = [batch.column(batch.schema.names.index(n)) for n in names]
-            if any(cut):
-                texts = texts_of(batch, text)
-                for i, some in enumerate(spans):
-                    if some:
-                        texts[i] = without(texts[i], [(x["a"], x["b"]) for x in some])
-                columns[names.index(text)] = pa.array(texts, pa.binary()).cast(batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], [*names, "__decon_cut"])
-
-    return run
-
-
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     places = [m.span() for m in WORD.finditer(raw)]
     out, at = [], 0
