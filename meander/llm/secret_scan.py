@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key block, or a run of 16 and more token characters with a digit among them.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 BEFORE, AFTER = 40, 24
 TREES, DEPTH, LEAF, SEED, FINDINGS = 15, 6, 4, 11, 2400
 THRESHOLD = 0.5
