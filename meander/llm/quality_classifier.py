@@ -163,7 +163,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
             total = np.add.reduceat(weight[found], np.cumsum(count) - count)
             return total, count
 
-        table = WordTable(values, 2, 250_000)
+        table = WordTable(values, 2, 150_000)
         for batch in batches:
             out = np.full(batch.num_rows, float(bias))
             for first, part in chunks(texts_of(batch, "__quality_text")):
