@@ -270,6 +270,23 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     )
 
 
+def oracle(window: int = WINDOW) -> str:
+    """report() in SQL: all windows of documents against all windows of items, by their words."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words("text")} AS w FROM benchmark),
+i AS (SELECT item, w, least(len(w), {window}) AS n FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+p AS (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS gram FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+h AS (SELECT r, p.n, s, item FROM p JOIN g ON p.gram = g.gram AND p.n = g.n),
+o AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS x FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN o USING (r) LEFT JOIN t USING (r)"""
+
+
 #: A document of which more than this share of words is test material goes; of the others the passages go.
 MOST_COVERED = 0.5
 

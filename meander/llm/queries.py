@@ -67,5 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Where SQL can say it. Some more columns than the contract asks for are in both."""
-    return {"op3_chat_formatting": chat.oracle(), "op9_url_filter": url_filter.oracle()}
+    """Where SQL can say it; all columns are compared."""
+    return {"op2_jump_sharding": sharding.oracle(), "op5_decontaminate": decontaminate.oracle(), "op10_warc": warc.oracle(), "op3_chat_formatting": chat.oracle(), "op9_url_filter": url_filter.oracle()}

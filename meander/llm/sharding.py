@@ -58,15 +58,15 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", column: str = "sha
     return docs.withColumn(column, jump(key_of(docs, key), shards))
 
 
-def slots(sharded: DataFrame, by: list[str], shard: str = "shard", groups: int = SLOT_GROUPS) -> DataFrame:
+def slots(sharded: DataFrame, by: list[str], group: Column, shard: str = "shard") -> DataFrame:
     """The rows with `slot`: 0, 1, 2, ... in each shard, and no two rows of a shard with one number.
 
     Rows that are equal in all of `by` are counted as one before anything is shuffled, so a row that is repeated very
-    often is no large group. A shard's rows are dealt to `groups` groups by hash; the groups' sizes (at most shards *
-    groups numbers) give each its first slot.
+    often is no large group. A shard's rows are dealt to the groups that `group` numbers, a bounded number of them; the
+    groups' sizes give each its first slot.
     """
     names = [shard, *by]
-    counted = sharded.groupBy(*names).agg(F.count("*").alias("__times")).withColumn("__group", F.pmod(F.xxhash64(*by), F.lit(groups)))
+    counted = sharded.groupBy(*names).agg(F.count("*").alias("__times")).withColumn("__group", group)
     # Sizes are summed and running totals taken over numbers of groups only, within each shard.
     sizes = counted.groupBy(shard, "__group").agg(F.sum("__times").alias("__size"))
     before = Window.partitionBy(shard).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,10 +78,42 @@ def slots(sharded: DataFrame, by: list[str], shard: str = "shard", groups: int =
     return placed.select(*names, F.explode(F.sequence(start, start + F.col("__times") - 1)).alias("slot"))
 
 
+#: Fixed value: the multiplier of multiplicative hashing, 2**32 over the golden ratio.
+GOLDEN = 2654435761
+
+
+def group_of(key: Column, groups: int = SLOT_GROUPS) -> Column:
+    """A number below `groups` for a BIGINT key: middle bits of a product, so that regular keys spread as well. Null is key 0."""
+    low = F.coalesce(key, F.lit(0).cast("long")).bitwiseAND((1 << 31) - 1)
+    return F.pmod(F.shiftright(low * F.lit(GOLDEN), 16), F.lit(groups))
+
+
 def report(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row. A null text has size 1 and the crc32 of nothing."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     some = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
     # Slots take two passes over the rows: they are written once without their texts.
-    placed = slots(stash(assign(some, shards), "sharded"), ["doc_id", "size", "text_crc32"])
+    placed = slots(stash(assign(some, shards), "sharded"), ["doc_id", "size", "text_crc32"], group_of(key_of(docs, "doc_id")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", jump(key_of(docs, "doc_id"), shards + 1).alias("grown_shard"))
+
+
+def oracle(shards: int = 16) -> str:
+    """The same in SQL, the checksum by its table of 256 entries (from its polynomial) over the bytes of a text."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    return f"""
+WITH RECURSIVE t AS (SELECT {table}::BIGINT[] AS k),
+d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2*i+1:2*i+2])::BIGINT)), lambda a, x: xor(a >> 8, k[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, t),
+w(doc_id, j, k) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CASE WHEN coalesce(doc_id, 0) < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE CAST(coalesce(doc_id, 0) AS HUGEINT) END FROM documents
+  UNION ALL
+  SELECT doc_id, CAST(floor(CAST(j + 1 AS DOUBLE) * (2147483648.0::DOUBLE / CAST(((k * {MULTIPLIER} + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE))) AS BIGINT), (k * {MULTIPLIER} + 1) % 18446744073709551616
+  FROM w WHERE j <= {shards}),
+s AS (SELECT doc_id, CAST(max(j) FILTER (j < {shards}) AS INTEGER) AS shard, CAST(max(j) FILTER (j < {shards + 1}) AS INTEGER) AS grown_shard FROM w GROUP BY doc_id)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY (((coalesce(c.doc_id, 0) & 2147483647) * {GOLDEN}) >> 16) % {SLOT_GROUPS}, c.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM c JOIN s ON c.doc_id IS NOT DISTINCT FROM s.doc_id"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stash, texts_of
+from .common import new_folder, stash
 
 RECORDS_A_FILE, RANGE_ROWS = 5_000, 250_000
 LEAST_BYTES = 0
@@ -230,3 +230,19 @@ def report(pages: DataFrame) -> DataFrame:
     write(pages, path)
     index = build_index(spark, path)
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("date").alias("capture_date"))
+
+
+def oracle() -> str:
+    """report() in SQL, for pages whose URLs have no line breaks."""
+    digit = lambda i, k: f"substr('{LETTERS}', ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {15 - 5 * k}) & 31) + 1, 1)"
+    digest = " || ".join(digit(i, k) for i in range(8) for k in range(4))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE url END AS rest FROM p),
+k AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM f),
+u AS (SELECT *, regexp_extract(substring(rest, length(host) + 1), '^[^#]*') AS path FROM k)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, {digest} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[.]', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key,
+  strftime(make_timestamp(({EPOCH} + page_id % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS capture_date
+FROM u"""
