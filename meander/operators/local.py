@@ -1,4 +1,4 @@
-"""Strongly connected components of a graph that fits one task: depth-first search with low links."""
+"""Strongly connected components of a graph that fits one task."""
 
 from __future__ import annotations
 
@@ -54,14 +54,88 @@ def tarjan(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.array(found, np.int64)
 
 
+#: Edges below which depth-first search takes what is left, and waves of peeling before that.
+SMALL, WAVES = 20_000, 16
+
+
+def _starts(n: int, ends: np.ndarray) -> np.ndarray:
+    first = np.zeros(n + 1, np.int64)
+    np.cumsum(np.bincount(ends, minlength=n), out=first[1:])
+    return first
+
+
+def _reached(first: np.ndarray, targets: np.ndarray, start: int) -> np.ndarray:
+    """Mask of the vertices that `start` reaches, a level at a time."""
+    seen = np.zeros(len(first) - 1, bool)
+    seen[start] = True
+    frontier = np.array([start])
+    while len(frontier):
+        count = first[frontier + 1] - first[frontier]
+        total = int(count.sum())
+        place = np.repeat(first[frontier] - np.cumsum(count) + count, count) + np.arange(total)
+        near = targets[place]
+        near = near[~seen[near]]
+        seen[near] = True
+        frontier = np.unique(near) if len(near) < len(seen) // 8 else np.flatnonzero(np.bincount(near, minlength=len(seen)))
+    return seen
+
+
+def _peeled(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges that a few waves of peeling leave."""
+    for _ in range(WAVES):
+        stays = (np.bincount(src, minlength=n) > 0) & (np.bincount(dst, minlength=n) > 0)
+        kept = stays[src] & stays[dst]
+        if kept.all():
+            break
+        src, dst = src[kept], dst[kept]
+    return src, dst
+
+
+def labels_of(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The smallest vertex of each vertex's component, for vertices 0 .. n - 1.
+
+    Peeling and searches both ways from the vertex of the largest degree are whole-array steps and take off the bulk of
+    most graphs; what they leave goes to depth-first search. Long chains end there as well, in linear time.
+    """
+    label = np.arange(n)
+    loops = src != dst
+    src, dst = _peeled(n, src[loops], dst[loops])
+    if len(src) > SMALL:
+        degree = np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)
+        pivot = int(degree.argmax())
+        down = _reached(_starts(n, src), dst[np.argsort(src, kind="stable")], pivot)
+        up = _reached(_starts(n, dst), src[np.argsort(dst, kind="stable")], pivot)
+        both = down & up
+        label[both] = np.flatnonzero(both)[0]
+        # A component lies in one of the four parts that the two searches make; the pivot's own is done.
+        part = 2 * down + up
+        kept = (part[src] == part[dst]) & ~both[src]
+        src, dst = _peeled(n, src[kept], dst[kept])
+    if len(src):
+        ids, at = _numbered(np.concatenate([src, dst]))
+        number = tarjan(len(ids), at[: len(src)], at[len(src) :])
+        least = np.full(int(number.max()) + 1, n)
+        np.minimum.at(least, number, ids)
+        label[ids] = least[number]
+    return label
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and the place of each id in them; dense ids are marked, others sorted."""
+    top = int(ids.max(initial=-1))
+    if ids.min(initial=0) >= 0 and top < 8 * len(ids) + 1024:
+        mark = np.zeros(top + 1, bool)
+        mark[ids] = True
+        place = np.cumsum(mark) - 1
+        return np.flatnonzero(mark), place[ids]
+    return np.unique(ids, return_inverse=True)
+
+
 def least_members(v: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices with the smallest vertex of their component. Ends of edges need not be among `v`."""
-    ids, at = np.unique(np.concatenate([v, src, dst]), return_inverse=True)
+    ids, at = _numbered(np.concatenate([v, src, dst]))
     a, b = at[len(v) : len(v) + len(src)], at[len(v) + len(src) :]
-    label = tarjan(len(ids), a, b)
-    least = np.full(label.max(initial=-1) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, ids)
-    return ids, least[label]
+    return ids, ids[labels_of(len(ids), a, b)]
 
 
 def components(edges: DataFrame) -> DataFrame:

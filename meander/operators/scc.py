@@ -23,8 +23,8 @@ from . import local
 from .reach import bfs, both_ways, least_ancestor, multi_reach
 from .trim import trim
 
-#: Edges that one task may take: at some 200 bytes an edge in Python lists, about 100 MB.
-LOCAL_EDGES = 500_000
+#: Edges that one task may take: at some 100 bytes an edge in its arrays, about 400 MB.
+LOCAL_EDGES = 4_000_000
 #: Waves of peeling before a method goes on; the rest of a long chain is found by its later steps.
 WAVES = 3
 BETA, SEED, TAU = 1.1, 12345, 1024
@@ -140,6 +140,8 @@ def multi(graph: Graph, clock: Clock | None = None, beta: float = BETA, waves: i
 def colouring(graph: Graph, clock: Clock | None = None, local_edges: int = 0, waves: int | None = WAVES) -> DataFrame:
     """local_edges: with no more edges than this, the rest goes to one task."""
     clock = clock or Clock()
+    if local_edges and graph.edges.count() <= local_edges:  # one task needs no distinct edges
+        return clock.run("others", lambda: tarjan(graph))
     rest = Graph(graph.vertices, stash(graph.simple().edges, "edges"))
     found = graph.vertices.limit(0).select("v", F.col("v").alias("scc"))
     while True:

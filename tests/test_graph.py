@@ -66,6 +66,20 @@ def test_local_kernel(n, data):
     assert all(order[a] >= order[b] for a, b in edges)  # reverse topological order of the condensation
 
 
+def test_local_kernel_on_large_graphs(monkeypatch):
+    from meander.operators import local
+
+    monkeypatch.setattr(local, "SMALL", 5)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 40))
+        src, dst = rng.integers(0, n, (2, int(rng.integers(1, 90))))
+        ids, least = least_members(np.arange(n), src, dst)
+        assert least.tolist() == naive(n, list(zip(src.tolist(), dst.tolist(), strict=True))).tolist()
+    ids, least = least_members(np.array([10**15, 7]), np.array([10**15, 3]), np.array([3, 10**15]))
+    assert dict(zip(ids.tolist(), least.tolist(), strict=True)) == {3: 3, 7: 7, 10**15: 3}
+
+
 def test_long_chain_stays_off_the_stack():
     n = 200_000
     assert tarjan(n, np.arange(n - 1), np.arange(1, n)).max() == n - 1
