@@ -64,6 +64,11 @@ def _starts(n: int, ends: np.ndarray) -> np.ndarray:
     return first
 
 
+def _targets(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The other ends of edges in order of one end; both are below 2**31, as one task's arrays are."""
+    return np.sort(ends << 32 | others) & 0xFFFFFFFF
+
+
 def _reached(first: np.ndarray, targets: np.ndarray, start: int) -> np.ndarray:
     """Mask of the vertices that `start` reaches, a level at a time."""
     seen = np.zeros(len(first) - 1, bool)
@@ -103,8 +108,8 @@ def labels_of(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     if len(src) > SMALL:
         degree = np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)
         pivot = int(degree.argmax())
-        down = _reached(_starts(n, src), dst[np.argsort(src, kind="stable")], pivot)
-        up = _reached(_starts(n, dst), src[np.argsort(dst, kind="stable")], pivot)
+        down = _reached(_starts(n, src), _targets(src, dst), pivot)
+        up = _reached(_starts(n, dst), _targets(dst, src), pivot)
         both = down & up
         label[both] = np.flatnonzero(both)[0]
         # A component lies in one of the four parts that the two searches make; the pivot's own is done.
@@ -138,14 +143,39 @@ def least_members(v: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.n
     return ids, ids[labels_of(len(ids), a, b)]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, scc) of the ends of a bounded edge table, in one task. The caller has counted the edges."""
+#: Edges in one packed row.
+PACKED = 1_000_000
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many edges as two byte strings, so that few rows are moved to the one task."""
+    held, size = [], 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate([b.column(i).to_numpy() for b in held]).tobytes()], pa.binary()) for i in (0, 1)], ["src", "dst"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACKED:
+            yield row()
+            held, size = [], 0
+    if size:
+        yield row()
+
+
+def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """(v, scc) of the ends of a bounded edge table and of `vertices` (v), in one task. The caller has counted the edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        held = [(src, dst) for b in batches for src, dst in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         if held:
-            src, dst = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            src, dst = (np.concatenate([np.frombuffer(h[i], np.int64) for h in held]) for i in (0, 1))
+            del held
             ids, least = least_members(src[:0], src, dst)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["v", "scc"])
 
-    return edges.select("src", "dst").repartition(1).mapInArrow(run, "v long, scc long")
+    both = edges.select("src", "dst")
+    if vertices is not None:  # a vertex is there as an edge to itself
+        both = both.unionByName(vertices.select(vertices["v"].alias("src"), vertices["v"].alias("dst")))
+    return both.mapInArrow(_pack, "src binary, dst binary").repartition(1).mapInArrow(run, "v long, scc long")

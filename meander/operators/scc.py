@@ -69,13 +69,16 @@ def canonical(labels: DataFrame) -> DataFrame:
     return labels.join(least, "label").select("v", "scc")
 
 
-def singletons(graph: Graph, found: DataFrame) -> DataFrame:
-    """found (v, scc) and every other vertex as a component of its own."""
+def one_task(graph: Graph, most_vertices: int | None = None) -> DataFrame:
+    """Components of a graph with a bounded number of edges. Vertices go to the task as well unless they are too many: ids may be sparse."""
+    if graph.vertices.count() <= (LOCAL_EDGES if most_vertices is None else most_vertices):
+        return local.components(graph.edges, graph.vertices)
+    found = local.components(graph.edges)
     return graph.vertices.join(found, "v", "left").select("v", F.coalesce("scc", "v").alias("scc"))
 
 
 def tarjan(graph: Graph, clock: Clock | None = None) -> DataFrame:
-    return singletons(graph, local.components(graph.edges.where("src <> dst")))
+    return one_task(graph)
 
 
 def _peel(graph: Graph, clock: Clock, waves: int | None) -> tuple[Graph, DataFrame]:
@@ -147,7 +150,7 @@ def colouring(graph: Graph, clock: Clock | None = None, local_edges: int = 0, wa
     while True:
         edges = rest.edges.count()
         if edges <= local_edges:
-            return found.unionByName(clock.run("others", lambda: singletons(rest, local.components(rest.edges))))  # noqa: B023
+            return found.unionByName(clock.run("others", lambda: one_task(rest)))  # noqa: B023
         rest, gone = _peel(rest, clock, waves)
         found = found.unionByName(gone)
         edges = rest.edges.count()

@@ -98,6 +98,13 @@ def test_methods_agree_on_random_graphs(spark, seed):
         assert [found[v] for v in range(n)] == expected, method
 
 
+def test_one_task_with_many_vertices(spark):
+    from meander.operators.scc import one_task
+
+    n, edges, expected = LITERAL["sparse_ids"]
+    assert classes(one_task(Graph.literal(spark, n, edges), most_vertices=3)) == expected
+
+
 def test_properties(spark):
     graph = generators.kout(spark, 60, 2)
     base = scc(graph, "colouring")
