@@ -1,0 +1 @@
+"""Empty: the engine's queries are over finite tables, and no operator of it is defined on streams."""
