@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: shared-folder tables and Arrow text access."""
+"""What the operators of this subpackage share: tables in the shared folder and texts in Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,41 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one vectorised step works on; a longer text is a step of its own.
-CHUNK_BYTES = 2_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meander-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+from ..storage import new_folder, stash
 
+__all__ = ["CHUNK_BYTES", "WordTable", "chunks", "new_folder", "read", "stash", "sums", "texts_of", "unsigned_hex"]
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: the lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text bytes that one vectorised step works on; a longer text is a step of its own.
+CHUNK_BYTES = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def is_plain_int(df: DataFrame, column: str) -> bool:
-    return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
-
-
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -105,25 +80,6 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of the given lengths: the run of each element, and its place in its run."""
-    run = np.repeat(np.arange(len(lengths)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    return run, np.arange(len(run)) - starts[run]
-
-
-def with_columns(df: DataFrame, fresh: dict[str, str]) -> dict[str, str]:
-    """Names that no column of df has, for intermediate columns."""
-    taken = {c.lower() for c in df.columns}
-    out = {}
-    for key, name in fresh.items():
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out[key] = name
-    return out
-
-
 def unsigned_hex(column: str):
     """16 lower-case hex digits of a BIGINT."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
