@@ -6,8 +6,8 @@ any other text, on which two Unicode versions may differ, goes to the tokenizer
 
 Packing: bounded-space online best-fit. A packer holds at most OPEN_BINS open sequences, as stacks by free space with one
 bit per non-empty stack; a piece goes to the open sequence that leaves the least room, found by shifting the bit set. When
-one more must be opened, the fullest closes. Pieces arrive in a fixed pseudo-random order, for which best-fit leaves
-little waste; a lost task gives the same sequences again.
+one more must be opened, the fullest closes. Pieces come in a fixed pseudo-random order, so a lost task gives the same
+sequences again; each WINDOW of them arrives from the longest to the shortest, for which best-fit leaves next to nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stash, texts_of
 
 SEQUENCE = 2048
-OPEN_BINS = 4096
+OPEN_BINS = WINDOW = 4096
 #: Pieces that one packer takes. Sequences still open at its end are all the waste that parallel packing adds.
 PIECES_A_PACKER = 100_000
 END_ID = 0
@@ -152,7 +152,7 @@ class Bins:
         return number, self.sequence - free
 
 
-def pack(found: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, pieces_a_packer: int = PIECES_A_PACKER) -> DataFrame:
+def pack(found: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, window: int = WINDOW, pieces_a_packer: int = PIECES_A_PACKER) -> DataFrame:
     """The pieces with sequence_id and offset. Every length from 1 to `sequence` is taken; repeated rows are pieces of their own."""
     count = found.count()
     packers = max(1, -(-count // pieces_a_packer))
@@ -165,10 +165,28 @@ def pack(found: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, open_b
 
         base = TaskContext.get().partitionId() << 33
         bins = Bins(open_bins, sequence)
+
+        def placed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            order = np.argsort(-table.column("length").to_numpy(), kind="stable")
+            table = table.take(pa.array(order))
+            at = [bins.put(n) for n in table.column("length").to_pylist()]
+            ids = np.array([p[0] for p in at], np.int64) + base
+            columns = [table.column(i).combine_chunks() for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(ids), pa.array([p[1] for p in at], pa.int64())], [*names, "sequence_id", "offset"])
+
+        held, size = [], 0
         for batch in batches:
-            placed = [bins.put(n) for n in batch.column(batch.schema.names.index("length")).to_pylist()]
-            ids = np.array([p[0] for p in placed], np.int64) + base
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids), pa.array([p[1] for p in placed], pa.int64())], [*names, "sequence_id", "offset"])
+            while batch.num_rows:
+                part = batch.slice(0, window - size)
+                held.append(part)
+                size += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if size == window:
+                    yield placed(held)
+                    held, size = [], 0
+        if size:
+            yield placed(held)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes) + ", sequence_id long, offset long"
     return dealt.mapInArrow(run, schema)

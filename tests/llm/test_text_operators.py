@@ -350,6 +350,17 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_packing_leaves_little_room(spark):
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.pmod(F.xxhash64("id"), F.lit(1400)) + 1).alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    for window in (4096, 1000):
+        found = packing.pack(pieces, window=window, pieces_a_packer=3000).collect()
+        assert {(r["doc_id"], r["length"]) for r in found} == {(r["doc_id"], r["length"]) for r in pieces.collect()} and len(found) == 6000
+        by = check_sequences(found)
+        assert len(by) <= 1.01 * -(-sum(r["length"] for r in found) // 2048)
+
+
 def check_sequences(rows, sequence=2048):
     by = {}
     for r in rows:
