@@ -53,19 +53,19 @@ def _contract(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of an edge; root is the least node of its component.
 
-    Each round is two joins on a node against the least neighbour of it, which is aggregated before it is shuffled; a node
-    with very many edges is a skewed join that can be split. Rounds end when a round changes nothing; their number grows
+    Each round is two joins on a node against the least neighbour of it, which is aggregated before it is shuffled, and
+    written: then both sides of the join are plain shuffles, and a node with very many edges can be split. Rounds end when a round changes nothing; their number grows
     with the logarithm of a component's diameter.
     """
     now = stash(_contract(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where(F.col(a) != F.col(b))), "edges")
     for _ in range(most_rounds):
         # Large star: every neighbour above a node is joined to the least of the node and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
+        least = stash(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low")), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         # Small star: a node and its neighbours below it are joined to the least of these.
-        down = large.where("a > b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "n")
+        down = stash(large.where("a > b").distinct(), "down")
+        low = stash(down.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "n"), "least")
         small = down.join(low, F.col("a") == F.col("n")).select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         after = stash(small.where("a > b").distinct(), "edges")
         # A forest of stars is a fixed point: every node has one edge, and no root has an edge down.

@@ -240,11 +240,12 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """
     found = stash(fingerprints(docs, text, key), "fingerprints")
     nodes = stash(found.groupBy("fp").agg(F.min(F.coalesce(F.col("k"), F.lit(NO_ID))).alias("least")), "nodes")
-    roots = connected(links(nodes.select("fp")), "a", "b")  # (node, root) of linked fingerprints only
+    roots = stash(connected(links(nodes.select("fp")), "a", "b"), "roots")  # (node, root) of linked fingerprints only
     label = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     label = stash(label, "labels")
-    least = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = label.join(least, "root").select("fp", "component_id")
+    # Tables that hot keys are joined with are written first: Spark splits a skewed side of two plain shuffles only.
+    least = stash(label.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = stash(label.join(least, "root").select("fp", "component_id"), "named")
     return found.join(named, "fp").select(F.col("k").alias(key), unsigned_hex("fp").alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
 

@@ -64,8 +64,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     rank = (1 - damping) * weight + damping * sum over links in of rank / links out. Rank that reaches a host without links
     out ends there. Few rounds are one plan; each few are written to the shared folder.
     """
-    out = edges.groupBy("src").agg(F.count("*").alias("links"))
-    # Links of one host are one group only as a sum; the join on a hub's name is one that can be split.
+    # Links of one host are one group only as a sum; this is written, so that the join on a hub's name can be split.
+    out = stash(edges.groupBy("src").agg(F.count("*").alias("links")), "links-out")
     weighted = stash(edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("links")).alias("part")), "links")
     base = seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank"))
     now = base
@@ -104,7 +104,7 @@ def report(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url"
     of = lambda v: F.count_if(F.coalesce(F.col("by_rule") == v, F.lit(False)))
     hosts = stash(ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), of("allow").alias("allowed"), of("block").alias("blocked")), "hosts")
     edges = stash(host_edges(pages, url, html), "edges")
-    gone = host_verdicts(hosts, edges).select("host", F.lit("block").alias("by_host"))
+    gone = stash(host_verdicts(hosts, edges).select("host", F.lit("block").alias("by_host")), "blocked")
     # Only pages without a rule need their host's verdict.
     open_pages = ruled.where("by_rule IS NULL").join(gone, "host", "left").select(key, "host", "path", "rule", F.coalesce("by_host", F.lit("allow")).alias("verdict"))
     return ruled.where("by_rule IS NOT NULL").select(key, "host", "path", "rule", F.col("by_rule").alias("verdict")).unionByName(open_pages)

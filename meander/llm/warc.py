@@ -53,6 +53,7 @@ def decide(rows: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(revisitor, first): ids whose payload an id below has, with that id. Rows of one id and payload are one capture."""
     found = stash(digests(rows).where(F.col("payload_bytes") >= least_bytes), "digests")
     first = found.groupBy("sha1").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sha1", "first")
+    first = stash(first, "repeated")  # both sides of the join are plain shuffles then, and a very common payload can be split
     return found.join(first, "sha1").where("id > first").select(F.col("id").alias("revisitor"), "sha1", "first").distinct()
 
 
