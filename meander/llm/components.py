@@ -54,8 +54,8 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFr
     """(node, root) of every node of an edge; root is the least node of its component.
 
     Each round is two joins on a node against the least neighbour of it, which is aggregated before it is shuffled, and
-    written: then both sides of the join are plain shuffles, and a node with very many edges can be split. Rounds end when a round changes nothing; their number grows
-    with the logarithm of a component's diameter.
+    written: then both sides of the join are plain shuffles, and a node with very many edges can be split. Rounds end when
+    a round leaves stars only; their number grows with the logarithm of a component's diameter.
     """
     now = stash(_contract(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where(F.col(a) != F.col(b))), "edges")
     for _ in range(most_rounds):

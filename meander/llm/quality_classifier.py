@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import WordTable, chunks, sums, texts_of
 
 BUCKETS, DIMENSION, GRAMS = 1 << 16, 8, (3, 4, 5)
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 3000, 12, 16, 0.05, 7
+SAMPLE, EPOCHS, BATCH, RATE, SEED = 3000, 5, 16, 0.05, 7
 THRESHOLD = 0.7
 #: The bucket of a repeated word, beyond the hashed ones, and how often it counts.
 AGAIN, AGAIN_TIMES = BUCKETS, 6
