@@ -31,8 +31,8 @@ DICTIONARY = (
     "request", "response", "result", "sample", "server", "service", "session", "site", "source", "status", "string", "system", "table", "temp", "test", "text", "thread",
     "time", "title", "type", "update", "user", "value", "version", "window", "word", "xxxx", "your",
 )
-SECRET_WORDS = r"(?i)(token|secret|passw|passphrase|api|auth|bearer|credential|private|access|key|pwd)"
-PLAIN_WORDS = r"(?i)(sha|commit|hash|md5|uuid|guid|digest|checksum|revision|etag|card|phone|isbn|build|serial|order|invoice|http|www)"
+SECRET_WORDS = r"(?i)(?<![a-z])(token|secret|passwd|password|passphrase|api|auth|bearer|credential|private|access|key|pwd)s?(?![a-z])"
+PLAIN_WORDS = r"(?i)(?<![a-z])(sha|commit|hash|md|uuid|guid|digest|checksum|revision|etag|card|phone|isbn|build|serial|order|invoice|https?|www|id)(?![a-z])"
 FEATURES = ("length", "transitions", "transition_share", "dictionary", "digits", "hexadecimal", "slashes", "after_slash", "secret_word", "plain_word", "assigned", "prefix", "block", "test_path", "repeated")
 
 
