@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import stash
+from ..storage import stash, stash_and
 
 
 def bfs(graph: Graph, sources: DataFrame, allowed: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
@@ -17,12 +17,12 @@ def bfs(graph: Graph, sources: DataFrame, allowed: DataFrame | None = None, most
     edges = graph.edges if allowed is None else stash(graph.subgraph(allowed).edges, "edges")
     start = sources.select("v").distinct()
     frontier = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
-    seen = frontier = stash(frontier.select("v", F.lit(0).cast("long").alias("depth")), "frontier")
-    depth = 0
-    while not frontier.isEmpty() and (most_rounds is None or depth < most_rounds):
+    frontier, new = stash_and(frontier.select("v", F.lit(0).cast("long").alias("depth")), "frontier")
+    seen, depth = frontier, 0
+    while new and (most_rounds is None or depth < most_rounds):
         depth += 1
         step = edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
-        frontier = stash(step.join(seen.select("v"), "v", "left_anti").select("v", F.lit(depth).cast("long").alias("depth")), "frontier")
+        frontier, new = stash_and(step.join(seen.select("v"), "v", "left_anti").select("v", F.lit(depth).cast("long").alias("depth")), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -32,10 +32,11 @@ def multi_reach(graph: Graph, centres: DataFrame, allowed: DataFrame | None = No
     edges = graph.edges if allowed is None else stash(graph.subgraph(allowed).edges, "edges")
     start = centres.select("v").distinct()
     start = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
-    seen = frontier = stash(start.select("v", F.col("v").alias("label")), "frontier")
-    while not frontier.isEmpty():
+    frontier, new = stash_and(start.select("v", F.col("v").alias("label")), "frontier")
+    seen = frontier
+    while new:
         step = edges.join(frontier.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "label").distinct()
-        frontier = stash(step.join(seen, ["v", "label"], "left_anti"), "frontier")
+        frontier, new = stash_and(step.join(seen, ["v", "label"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -48,10 +49,10 @@ def both_ways(forward: DataFrame, backward: DataFrame) -> DataFrame:
 def least_ancestor(graph: Graph) -> DataFrame:
     """(v, colour): the smallest vertex that reaches v, itself included. Only vertices whose colour fell send it on."""
     colours = stash(graph.vertices.select("v", F.col("v").alias("colour")), "colours")
-    changed = colours
-    while not changed.isEmpty():
+    changed, fell = colours, 1
+    while fell:
         sent = graph.edges.join(changed.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("colour").alias("sent"))
         both = colours.join(sent, "v", "left").select("v", F.least("colour", "sent").alias("colour"), (F.col("sent") < F.col("colour")).alias("fell"))
-        both = stash(both, "colours")
+        both, fell = stash_and(both, "colours", F.coalesce("fell", F.lit(False)))
         colours, changed = both.select("v", "colour"), both.where("fell").select("v", "colour")
     return colours

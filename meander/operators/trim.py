@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import stash
+from ..storage import stash, stash_and
 
 
 def trim(graph: Graph, most_waves: int | None = None) -> tuple[Graph, DataFrame]:
@@ -20,10 +20,10 @@ def trim(graph: Graph, most_waves: int | None = None) -> tuple[Graph, DataFrame]
     while most_waves is None or wave < most_waves:
         wave += 1
         ends = edges.select(F.col("src").alias("v")).distinct().join(edges.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
-        marked = stash(vertices.join(ends.withColumn("stays", F.lit(True)), "v", "left"), "wave")
-        gone = marked.where("stays IS NULL").select("v", F.lit(wave).cast("long").alias("wave"))
-        if gone.isEmpty():
+        marked, some = stash_and(vertices.join(ends.withColumn("stays", F.lit(True)), "v", "left"), "wave", F.col("stays").isNull())
+        if not some:
             break
+        gone = marked.where("stays IS NULL").select("v", F.lit(wave).cast("long").alias("wave"))
         peeled = peeled.unionByName(gone)
         vertices = marked.where("stays").select("v")
         edges = stash(Graph(vertices, edges).subgraph(vertices).edges, "edges")

@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -49,3 +50,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stash_and(df: DataFrame, name: str, found: Column | None = None) -> tuple[DataFrame, int]:
+    """stash(), and how many rows (or how many with `found`) were written, observed by the same job.
+
+    A stage that ran again may count rows twice, so the number says whether there are any.
+    """
+    seen = Observation()
+    counted = F.count(F.lit(1)) if found is None else F.count_if(found)
+    out = stash(df.observe(seen, counted.alias("n")), name)
+    return out, seen.get["n"]
