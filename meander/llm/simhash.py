@@ -34,8 +34,9 @@ PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = 3
 #: Fingerprints at one anchor beyond which it is split by sub-blocks.
 GROUP = 50_000
-#: Runs of equal sub-block up to which pairs are compared by shifting; longer ones are searched breadth-first.
-RUN = 48
+#: Runs of an equal part up to which pairs are compared by shifting, and beyond which they are dealt by further parts,
+#: so many times at most.
+RUN, LONG, DEALT = 48, 4096, 2
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 BYTE_COLUMN = np.arange(8, dtype=np.int64) * 256
 
@@ -122,9 +123,12 @@ def replicate(fps: DataFrame) -> DataFrame:
 
 
 def linked(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) that join the distinct fingerprints exactly as their links do; at most len(fps) - 1 of them."""
-    n = len(fps)
-    parent = np.arange(n)
+    """Edges (a, b) that join the distinct fingerprints exactly as their links do; at most len(fps) - 1 of them.
+
+    Of two linked fingerprints one of threshold + 1 parts of their bits is equal. Short runs of an equal part are compared
+    pair by pair, longer ones breadth-first, and very long ones are dealt once more by parts of their other bits.
+    """
+    parent = np.arange(len(fps))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -138,35 +142,42 @@ def linked(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.
             if x != y:
                 parent[max(x, y)] = min(x, y)
 
-    for first, size in PARTS:
-        value = (fps >> np.uint64(first) & np.uint64((1 << size) - 1)).astype(np.int64)
-        order = np.argsort(value, kind="stable")
-        cut = np.flatnonzero(np.diff(value[order])) + 1
-        starts = np.r_[0, cut]
-        length = np.diff(np.r_[starts, n])
-        long = length > RUN
-        for s, e in zip(starts[long].tolist(), (starts + length)[long].tolist(), strict=True):
-            left = order[s:e]
-            while len(left):  # a component at a time: whatever is reached leaves the list
-                queue, left = [left[0]], left[1:]
-                while queue and len(left):
-                    x = queue.pop()
-                    near = np.bitwise_count(fps[left] ^ fps[x]) <= threshold
-                    if near.any():
-                        found = left[near]
-                        join(np.full(len(found), x), found)
-                        queue.extend(found.tolist())
-                        left = left[~near]
-        own, by = np.repeat(length, length), fps[order]
-        short = own <= RUN
-        for shift in range(1, int(length[~long].max(initial=1))):
-            same = np.flatnonzero((value[order[shift:]] == value[order[:-shift]]) & short[shift:])
-            if not len(same):
-                break
-            near = same[np.bitwise_count(by[same] ^ by[same + shift]) <= threshold]
-            join(order[near], order[near + shift])
-    top = np.array([root(x) for x in np.flatnonzero(parent != np.arange(n)).tolist()], np.int64)
-    return np.flatnonzero(parent != np.arange(n)), top
+    def breadth_first(left: np.ndarray) -> None:
+        while len(left):  # a component at a time: whatever is reached leaves the list
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = np.bitwise_count(fps[left] ^ fps[x]) <= threshold
+                if near.any():
+                    found = left[near]
+                    join(np.full(len(found), x), found)
+                    queue.extend(found.tolist())
+                    left = left[~near]
+
+    def visit(members: np.ndarray, bits: list[int], depth: int) -> None:
+        for part in np.array_split(np.array(bits), threshold + 1):
+            mask = np.uint64(sum(1 << int(b) for b in part))
+            key = fps[members] & mask
+            up = np.argsort(key, kind="stable")
+            order, key = members[up], key[up]
+            starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+            length = np.diff(np.r_[starts, len(order)])
+            for s, n in zip(starts[length > RUN].tolist(), length[length > RUN].tolist(), strict=True):
+                if n > LONG and depth < DEALT:
+                    visit(order[s : s + n], [b for b in bits if b not in part], depth + 1)
+                else:
+                    breadth_first(order[s : s + n])
+            short, by = np.repeat(length <= RUN, length), fps[order]
+            for shift in range(1, int(length[length <= RUN].max(initial=1))):
+                same = np.flatnonzero((key[shift:] == key[:-shift]) & short[shift:])
+                if not len(same):
+                    break
+                near = same[np.bitwise_count(by[same] ^ by[same + shift]) <= threshold]
+                join(order[near], order[near + shift])
+
+    visit(np.arange(len(fps)), list(range(64)), 0)
+    own = np.flatnonzero(parent != np.arange(len(fps)))
+    return own, np.array([root(x) for x in own.tolist()], np.int64)
 
 
 def compare(placed: DataFrame, keys: list[str]) -> DataFrame:

@@ -151,8 +151,10 @@ def near(rng, n, crowd):
     return sorted(set(out))
 
 
+@pytest.mark.parametrize("long", [simhash.LONG, 50])
 @pytest.mark.parametrize("crowd", [0, 300])
-def test_linked_has_all_links(crowd):
+def test_linked_has_all_links(crowd, long, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG", long)
     fps = np.array(near(np.random.default_rng(crowd), 150, crowd), np.uint64)
     a, b = simhash.linked(fps)
     parent = list(range(len(fps)))
