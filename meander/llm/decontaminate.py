@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import released, texts_of
 
 #: Words as the contract has them: ASCII letters and digits and all bytes from 0x80 on; A-Z are lowered.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -224,6 +224,7 @@ ROWS = 1000
 def _scanner(group, text: str, most_covered: float | None):
     """Adds the hits of one broadcast of automata to those that earlier passes have found, and cuts if it is the last."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = group.value
         for whole in batches:

@@ -16,13 +16,14 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, texts_of
+from .common import released, stash, texts_of
 
 SEQUENCE = 2048
 OPEN_BINS = WINDOW = 4096
@@ -53,11 +54,16 @@ class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, vocabulary: str):
+        self.vocabulary = vocabulary
+        self.fast = self._by_ranks(vocabulary)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = self._by_ranks(vocabulary)
+        found = Tokenizer.from_file(self.vocabulary)
+        found.encode_special_tokens = True
+        return found
 
     @staticmethod
     def _by_ranks(vocabulary: str):
@@ -91,6 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
     end = np.array([END_ID], "<u4").tobytes()
     kind = docs.schema[key].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
         for batch in batches:
@@ -160,6 +167,7 @@ def pack(found: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, open_b
     # A hash of the whole row deals pieces evenly and fixes their order, so that a lost task packs as before.
     dealt = found.withColumn("__order", F.xxhash64(*[F.col(c) for c in names])).repartition(packers, "__order").sortWithinPartitions("__order", key, "piece")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

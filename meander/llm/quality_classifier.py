@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordTable, chunks, sums, texts_of
+from .common import WordTable, chunks, released, sums, texts_of
 
 BUCKETS, DIMENSION, GRAMS = 1 << 16, 8, (3, 4, 5)
 SAMPLE, EPOCHS, BATCH, RATE, SEED = 3000, 5, 16, 0.05, 7
@@ -93,6 +93,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label
     # At most `sample` rows of two numbers, by the limit: this side is small whatever the input.
     some = docs.select(F.col(key), F.col(text).alias("__quality_text")).join(F.broadcast(chosen), key).select("y", "__quality_text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [histogram(raw or b"") for raw in texts_of(batch, "__quality_text")]
@@ -155,6 +156,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[key].dataType
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value.astype(np.float64)
 

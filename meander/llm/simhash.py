@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, texts_of, unsigned_hex
+from .common import released, stash, texts_of, unsigned_hex
 from .components import connected
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """(key, fp): the fingerprint as a signed BIGINT of the same bits."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(map(fingerprint, texts_of(batch, "__simhash_text")), np.uint64, batch.num_rows)
@@ -104,6 +105,7 @@ def syndrome(words: np.ndarray) -> np.ndarray:
 def replicate(fps: DataFrame) -> DataFrame:
     """(anchor, fp): every fingerprint at every anchor within RADIUS + 1 bits on a block."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count = golay_anchors()
         for batch in batches:
@@ -183,6 +185,7 @@ def linked(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.
 def compare(placed: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b) edges among the fingerprints of each group, which lie together and in order of `keys`."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys: tuple[np.ndarray, ...] | None = None
         held: list[np.ndarray] = []

@@ -153,8 +153,8 @@ def test_warc_files_and_ranges(spark, tmp_path):
     keys = [(r["url_key"], r["date"], r["id"]) for r in rows]
     assert len(rows) == 500 and keys == sorted(keys)
     assert sum(r["record_type"] == "response" for r in rows) == 50
-    broken = next((tmp_path / "w").glob("*.gz"))
-    broken.write_bytes(gzip.compress(gzip.decompress(broken.read_bytes()).replace(b"Payload-Digest: sha1:", b"Payload-Digest: sha1:A", 1)))
+    broken = next(p for p in (tmp_path / "w").glob("*.gz") if b"WARC-Type: response" in gzip.decompress(p.read_bytes()))
+    broken.write_bytes(gzip.compress(gzip.decompress(broken.read_bytes()).replace(b"Payload-Digest: sha1:", b"Payload-Digest: sha1:A")))
     for check in (tmp_path / "w").glob(".*.crc"):
         check.unlink()
     with pytest.raises(Exception, match="damaged"):
