@@ -250,6 +250,15 @@ def test_kneser_ney_sums_to_one():
         assert math.isclose(total, 1, rel_tol=1e-6), context
 
 
+def test_lower_order_for_a_large_table(spark, monkeypatch):
+    docs = documents(spark)
+    names, order, _ = quality_rules.train(docs, "text", "lang")
+    assert names == ["", "en", "fr"] and order == 4
+    monkeypatch.setattr(quality_rules, "MOST_GRAMS", 10)
+    assert quality_rules.train(docs, "text", "lang")[1] == 2
+    assert quality_rules.report(docs).count() == docs.count()
+
+
 def test_perplexity_rejects_noise(spark):
     rng = np.random.default_rng(3)
     vocabulary = ["".join(rng.choice(list("aeiourstln"), rng.integers(2, 7))) for _ in range(300)]
@@ -333,6 +342,15 @@ def test_sharding(spark):
     assert all(0 <= r["shard"] < 4 for r in named)
 
 
+def test_slots_of_one_row_very_often(spark):
+    docs = spark.createDataFrame([(7, "same")] * 3000 + [(i, "x") for i in range(50)], "doc_id long, text string")
+    found = sharding.report(docs).collect()
+    assert len(found) == 3050
+    for shard in {r["shard"] for r in found}:
+        own = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert own == list(range(len(own)))
+
+
 # ---- packing
 
 
