@@ -131,7 +131,7 @@ for _name in SQL:
     query(with_graph(_name, "SELECT src, to_json(list_sort(list(dst))) AS neighbors FROM e GROUP BY src"), f"adjacency_{_name.lower()}")(lambda s, d, n=_name: g.adjacency(derived(s, d, n)).select("src", F.to_json("neighbors").alias("neighbors")))
     query(with_graph(_name, f", {DEGREES} SELECT v, CAST(sum(out_degree) OVER (ORDER BY v) - out_degree AS BIGINT) AS off FROM deg UNION ALL SELECT (SELECT count(*) FROM v), (SELECT count(*) FROM e)"), f"csr_offsets_{_name.lower()}")(lambda s, d, n=_name: g.csr_offsets(derived(s, d, n)))
     query(
-        with_graph(_name, f", {PIVOT} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e WHERE src = dst) AS self_loops, CAST(0 AS BIGINT) AS repeated_edges, degree AS max_degree, v AS top_vertex FROM top"),
+        with_graph(_name, f", {PIVOT} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e WHERE src = dst) AS self_loops, CAST(0 AS BIGINT) AS repeated_edges, (SELECT degree FROM top) AS max_degree, (SELECT v FROM top) AS top_vertex"),
         f"graph_stats_{_name.lower()}",
     )(lambda s, d, n=_name: g.graph_stats(derived(s, d, n)))
     query(with_graph(_name, f", {PIVOT} SELECT * FROM top"), f"pivot_{_name.lower()}")(lambda s, d, n=_name: g.pivot(derived(s, d, n)))
