@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import released, stash, texts_of, unsigned_hex
 from .components import connected
@@ -264,18 +265,38 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, that of the smallest id; rows that repeat this id are one as well.
+    """One row of each component of components(), of the smallest id, null being the smallest. Columns stay as they are."""
 
-    Columns stay as they are. The list of ids to keep is joined as a semi-join; documents are not sorted or grouped.
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter(map(fingerprint, texts_of(batch, text)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+
+    rows = stash(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "marked")
+    nodes = stash(rows.select(F.col("__fp").alias("fp")).distinct(), "nodes")
+    return one_of_each(rows, "__fp", stash(connected(links(nodes), "a", "b"), "roots"), key).select(*docs.columns)
+
+
+def one_of_each(rows: DataFrame, node: str, roots: DataFrame, key: str) -> DataFrame:
+    """One row of each component of written rows; roots: (node, root) of nodes that link to another.
+
+    Rows are told apart by component, id and a hash of all columns, never by id alone: ids may be null or stand for several
+    texts. What goes is joined as an anti-join; rows that are equal in all columns are one at the end.
     """
-    found = components(docs, text, key)
-    drop = stash(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct(), "dropped")
-    kept = docs.join(drop, docs[key].eqNullSafe(drop["__gone"]), "left_anti")
-    repeated = docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("__twice"))
-    if repeated.isEmpty():
+    data = [c for c in rows.columns if c != node]
+    digest = F.sha2(F.to_json(F.struct(*data), {"ignoreNullFields": "false"}), 256)
+    row = F.struct(F.col(key).isNotNull(), F.col(key), F.col("digest"))
+    small = rows.select(F.col(node).alias("n"), key, digest.alias("digest"))
+    small = small.join(roots, small["n"] == roots["node"], "left").select("n", F.coalesce("root", "n").alias("root"), row.alias("row"))
+    small = stash(small.groupBy("n", "root", "row").count(), "rows")
+    least = stash(small.groupBy("root").agg(F.min("row").alias("least")), "least")
+    drop = stash(small.join(least, "root").where(F.col("row") != F.col("least")).select(F.col("n").alias("__gone"), F.col("row.digest").alias("__digest")), "dropped")
+    kept = rows.join(drop, (F.col(node) == F.col("__gone")) & (digest == F.col("__digest")), "left_anti")
+    twice = stash(small.join(least, "root").where("row = least AND count > 1").select(F.col("n").alias("__twice"), F.col("row.digest").alias("__digest")), "repeated")
+    if twice.isEmpty():
         return kept
-    twice = stash(repeated, "repeated")
-    # Rows of one id are one component only if their texts are; the first in order of text stays, ties are equal rows.
-    once = kept.join(twice, kept[key].eqNullSafe(twice["__twice"]), "left_anti")
-    some = kept.join(twice, kept[key].eqNullSafe(twice["__twice"]), "left_semi")
-    return once.unionByName(some.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != key])).alias("__row")).select(*[F.col(key) if c == key else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+    same = (F.col(node) == F.col("__twice")) & (digest == F.col("__digest"))
+    once = kept.join(twice, same, "left_anti")
+    some = kept.join(twice, same, "left_semi").groupBy(node, digest.alias("__digest")).agg(*[F.first(c).alias(c) for c in data])
+    return once.unionByName(some.select(*rows.columns))
