@@ -1,9 +1,10 @@
-"""Deduplication of rows that share an id or have none."""
+"""Near copies of the pipeline against all pairs, and rows that share an id or have none."""
 
 import numpy as np
 import pytest
 
-from meander.llm import simhash
+import corpus_pipeline
+from meander.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,7 +13,31 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("module", [simhash])
+@pytest.mark.parametrize("crowd", [near_copies.CROWD, 3])
+def test_all_links_of_five_word_shingles(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "FREQUENT", 4)
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, enumerate(texts)), "").collect()}
+    assert kept == set(parent) and 12 <= len(kept) < len(texts)
+
+
+@pytest.mark.parametrize("module", [near_copies, simhash])
 def test_ids_that_are_null_or_clash(spark, module):
     say = lambda seed: " ".join(f"v{x}" for x in np.random.default_rng(seed).integers(0, 5000, 60))
     rows = [(None, say(1)), (None, say(2)), (5, say(3)), (5, say(4)), (4, say(4)), (5, say(3)), (None, say(6)), (9, say(6))]
