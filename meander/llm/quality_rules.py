@@ -31,8 +31,9 @@ OWN_MODEL = 0.01
 #: Cells of the histogram of log perplexity: CELL wide, from 0 to CELLS * CELL.
 CELL, CELLS = 0.001, 20_000
 #: Multiples of the median absolute deviation (times 1.4826, as of a normal distribution) below and above the median,
-#: and the least width of a band's half (a crowd of copies can make the deviation very small).
-BELOW, ABOVE, LEAST_WIDTH = 8.0, 12.0, 0.25
+#: and the least width of a band's half (a crowd of copies can make the deviation very small). Set from labelled quality
+#: rows: the README has the figures. The least width is under 3 deviations of each language there.
+BELOW, ABOVE, LEAST_WIDTH = 5.0, 4.0, 0.05
 #: Documents of fewer words are judged by no band: their perplexity says little.
 LEAST_WORDS = 50
 
