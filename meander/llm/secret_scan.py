@@ -16,8 +16,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key block, or a run of 16 and more token characters with a digit among them.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+TOKEN = "[A-Za-z0-9+/_-]"
+KEY = "PRIVATE KEY(?: BLOCK)?-----"
+#: A key block from BEGIN to END with all between; without an END, its header and body lines.
+BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,30}}{KEY}(?:[\s\S]*?-----END [A-Z0-9 ]{{0,30}}{KEY}|(?:\s*[A-Za-z-]{{1,40}}: [^\n]*\n){{0,20}}[A-Za-z0-9+/=\s]*)"
+#: A value of 8 and more characters assigned to a name that ends in a secret word, digit or not.
+NAMES = "token|secret|passwd|password|passphrase|pwd|credential|bearer|(?:api|auth|access|private|secret|signing|encryption)[_ -]?key"
+ASSIGNED = rf"(?<=[=:][ \t]{{0,2}}[\"']?)(?<=(?i:{NAMES})s?[\"']?[ \t]{{0,2}}:?[=:][ \t]{{0,2}}[\"']?)[^\s\"'`<>,;=:][^\s\"'`<>,;]{{7,}}"
+#: Known kinds, with or without digits; a JWT with its dots.
+KNOWN = r"eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+){1,4}|A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+#: Any of these, or a run of 16 and more token characters with a digit among them.
+CANDIDATE = rf"{BLOCK}|{ASSIGNED}|(?<!{TOKEN})(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}={{0,2}})"
 BEFORE, AFTER = 40, 24
 TREES, DEPTH, LEAF, SEED, FINDINGS = 15, 6, 4, 11, 2400
 THRESHOLD = 0.5
@@ -47,7 +56,7 @@ def features(text: Column, before: Column, after: Column, path: Column) -> list[
         F.least(size, F.lit(200)), changes, changes / size, covered / size, F.char_length(F.regexp_replace(text, "[^0-9]", "")) / size,
         flag(text.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.char_length(F.regexp_replace(text, "[^/]", "")), flag(before.rlike(r"[/.@~]$")),
         flag(before.rlike(SECRET_WORDS)), flag(before.rlike(PLAIN_WORDS)), flag(before.rlike(r"[=:]\W{0,3}$")),
-        flag(text.rlike("^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk-|sk_live_|eyJ|AIza|SG)")), flag(text.startswith("-----BEGIN")),
+        flag(text.rlike(f"^({KNOWN})")), flag(text.startswith("-----BEGIN")),
         flag(path.rlike("(?i)(test|example|fixture|mock|sample)")), F.char_length(F.regexp_replace(text, r"(.)\1+", "$1")) / size,
     ]
     return [c.cast("double").alias(n) for n, c in zip(FEATURES, found, strict=True)]
@@ -72,11 +81,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
             kind = rng.integers(5)
             if kind == 0:
                 text, left = one("AKIA" + pick(full[:26] + digits, 16), "ghp_" + pick(full, 36), "sk-" + pick(full, 40), "xoxb-" + pick(digits, 11) + "-" + pick(full, 24), "eyJ" + pick(full, 60), "AIza" + pick(full, 35)), one(left, word() + " ")
-            elif kind == 1 and i % 20 == 1:
-                text, left, right = "-----BEGIN RSA PRIVATE KEY-----\n" + pick(full, 300) + "\n-----END RSA PRIVATE KEY-----", word() + "\n", "\n"
+            elif kind == 2:  # passwords, short or of letters alone
+                text = one(pick(full, rng.integers(8, 16)), pick(full[:52], rng.integers(8, 30)), pick(full + "!@#$%^&*", rng.integers(8, 16)), pick(full[26:52], rng.integers(8, 24)))
+                left = left.rstrip(' "\'') + one("", " ", ' "', '"') if left.rstrip(' "\'')[-1] in "=:" else left + one("=", ": ", ' = "')
+            elif kind == 1 and i % 4 == 1:
+                of, head = one(("RSA ", ""), ("", ""), ("OPENSSH ", ""), ("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexes.upper(), 32) + "\n\n"), ("PGP ", "Version: GnuPG v2\n\n"))
+                kind_of = of + "PRIVATE KEY" + (" BLOCK" if of == "PGP " else "")
+                text, left, right = f"-----BEGIN {kind_of}-----\n" + head + pick(full, one(200, 300, 900)) * one(1, 1, 5) + f"\n-----END {kind_of}-----", one(left, word() + "\n", word() + " ", ""), one("\n", " ", "")
         else:
-            kind = rng.integers(8)
-            if kind == 0:  # card and account numbers
+            kind = rng.integers(9)
+            if kind == 8:  # names and placeholders where a secret would be
+                text = one("_".join(one(*DICTIONARY) for _ in range(rng.integers(2, 4))), "x" * int(rng.integers(8, 24)), "*" * int(rng.integers(8, 16)), "your" + one("-", "_", "") + one(*DICTIONARY), "${" + one(*DICTIONARY).upper() + "_" + one(*DICTIONARY).upper() + "}", "changeme" + pick(digits, rng.integers(0, 3)), "example-" + one(*DICTIONARY), "/".join(["", one(*DICTIONARY), one(*DICTIONARY)]))
+                left += one("password", "token", "secret", "api_key", "passwd") + one(" = ", "=", ": ") + one('"', "")
+            elif kind == 0:  # card and account numbers
                 text = pick(digits, rng.integers(16, 20))
                 left += one("", "card ", "order ", "")
             elif kind == 1:
