@@ -35,7 +35,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(read(spark, sf_dir, "documents"))
+    return secret_scan.report(read(spark, sf_dir, "documents"), path="source")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

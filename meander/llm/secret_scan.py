@@ -2,9 +2,9 @@
 
 A text is split at its candidates, so each has its left and right neighbourhood at hand within the row, and nothing is
 shuffled. Features of a candidate are its length, the changes between character classes, the share that dictionary words
-cover, its path-like parts, and the words beside it. The forest is trained in numpy on labelled findings (a bounded
-fixture made by rules below, or a table of one's own) whose features the same expressions give, and is then one nested
-CASE expression.
+cover, its path-like parts, the path of its document, and the words to its left and right. The forest is trained in numpy on labelled findings (a bounded
+fixture made by rules below, or a table of one's own) whose features the same expressions give, and is then a
+walk over constant arrays of its nodes.
 """
 
 from __future__ import annotations
@@ -19,102 +19,132 @@ from pyspark.sql import functions as F
 TOKEN = "[A-Za-z0-9+/_-]"
 KEY = "PRIVATE KEY(?: BLOCK)?-----"
 #: A key block from BEGIN to END with all between; without an END, its header and body lines.
-BLOCK = rf"-----BEGIN [A-Z0-9 ]{{0,30}}{KEY}(?:[\s\S]*?-----END [A-Z0-9 ]{{0,30}}{KEY}|(?:\s*[A-Za-z-]{{1,40}}: [^\n]*\n){{0,20}}[A-Za-z0-9+/=\s]*)"
-#: A value of 8 and more characters assigned to a name that ends in a secret word, digit or not.
+BLOCK = rf"-----BEGIN [A-Z0-9 ]*?{KEY}(?:[\s\S]*?-----END [A-Z0-9 ]*?{KEY}|(?:\s*+[A-Za-z-]++: [^\n]*+\n)*+[A-Za-z0-9+/=\s]*+)"
+#: What stands before a value that is assigned to a name ending in a secret word, before a URL's password, and before a
+#: bearer's token. It is a part of the match and is taken off again (LEAD), so that there may be any blanks between.
 NAMES = "token|secret|passwd|password|passphrase|pwd|credential|bearer|(?:api|auth|access|private|secret|signing|encryption)[_ -]?key"
-ASSIGNED = rf"(?<=[=:][ \t]{{0,2}}[\"']?)(?<=(?i:{NAMES})s?[\"']?[ \t]{{0,2}}:?[=:][ \t]{{0,2}}[\"']?)[^\s\"'`<>,;=:][^\s\"'`<>,;]{{7,}}"
+#: From the end of such a name to the value; what a name is is looked up only where a sign of assignment follows.
+SIGN = r"[\"']?[ \t]*+:?[=:]>?[ \t]*+[\"']?"
+NAME = rf"(?=[\"']?[ \t]*+[=:])(?<=(?i:{NAMES})s?){SIGN}"
+URL = r"://[^\s/:@\"'`<>]*+:"
+BEARER = r"[Bb](?i:earer|asic)[ \t]++"
+ASSIGNED = r"[^\s\"'`<>,;=:][^\s\"'`<>,;]{7,}+"
+LEAD = rf"^(?:{URL}|{SIGN}|{BEARER})"
 #: Known kinds, with or without digits; a JWT with its dots.
-KNOWN = r"eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+){1,4}|A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
-#: Any of these, or a run of 16 and more token characters with a digit among them.
-CANDIDATE = rf"{BLOCK}|{ASSIGNED}|(?<!{TOKEN})(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}={{0,2}})"
+KNOWN = r"eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+)+|A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+#: Any of these, a run of 16 and more token characters with a digit among them, or one of 20 and more in which small and
+#: capital letters change places twice.
+CANDIDATE = rf"{BLOCK}|{NAME}(?:{BLOCK}|{ASSIGNED})|{URL}[^\s/@\"'`<>]++(?=@)|{BEARER}{TOKEN}{{8,}}+={{0,2}}|(?<!{TOKEN})(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}+={{0,2}}|(?=(?:[A-Z+/_-]*+[a-z+/_-]++[A-Z]){{2}}){TOKEN}{{20,}}+={{0,2}})"
 BEFORE, AFTER = 40, 24
-TREES, DEPTH, LEAF, SEED, FINDINGS = 15, 6, 4, 11, 2400
+TREES, DEPTH, LEAF, SEED, FINDINGS = 15, 7, 4, 11, 3600
 THRESHOLD = 0.5
 MASK = "<SECRET>"
 
-#: Words that cover identifiers, paths and placeholders.
+#: Words that cover identifiers, paths and placeholders, where no dictionary of one's own is given.
 DICTIONARY = (
-    "address", "archive", "backup", "build", "cache", "changeme", "client", "common", "config", "data", "date", "default", "demo", "document", "dummy", "error",
-    "example", "export", "field", "file", "final", "home", "image", "import", "index", "input", "item", "library", "local", "main", "master", "message", "model", "module",
-    "name", "number", "object", "order", "output", "package", "page", "path", "placeholder", "process", "product", "project", "python", "record", "release", "report",
-    "request", "response", "result", "sample", "server", "service", "session", "site", "source", "status", "string", "system", "table", "temp", "test", "text", "thread",
-    "time", "title", "type", "update", "user", "value", "version", "window", "word", "xxxx", "your",
+    "access", "account", "action", "address", "admin", "archive", "array", "asset", "author", "backup", "base", "binary", "block", "branch", "buffer", "build", "button", "cache", "change",
+    "changeme", "channel", "check", "class", "client", "cloud", "code", "column", "common", "component", "config", "connection", "content", "context", "control", "cookie", "count", "create",
+    "custom", "data", "date", "debug", "default", "delete", "demo", "design", "device", "display", "document", "domain", "download", "dummy", "editor", "element", "email", "enable", "engine",
+    "entity", "entry", "error", "event", "example", "export", "field", "file", "filter", "final", "folder", "format", "frame", "function", "global", "group", "handle", "header", "height",
+    "home", "host", "image", "import", "index", "info", "input", "insert", "install", "instance", "interface", "item", "label", "language", "layout", "level", "library", "license", "list",
+    "load", "local", "location", "login", "manager", "master", "match", "media", "member", "memory", "menu", "message", "method", "model", "module", "name", "network", "node", "number",
+    "object", "option", "order", "output", "package", "page", "panel", "parameter", "parent", "path", "pattern", "placeholder", "player", "plugin", "point", "position", "print", "process",
+    "product", "profile", "project", "property", "public", "python", "query", "random", "range", "record", "region", "register", "release", "remote", "report", "request", "resource",
+    "response", "result", "sample", "schema", "screen", "script", "search", "section", "select", "server", "service", "session", "setting", "size", "source", "start", "state", "static",
+    "status", "string", "style", "system", "table", "target", "task", "temp", "test", "text", "theme", "thread", "time", "title", "type", "update", "user", "value", "version", "view",
+    "window", "word", "xxxx", "your",
 )
 SECRET_WORDS = r"(?i)(?<![a-z])(token|secret|passwd|password|passphrase|api|auth|bearer|credential|private|access|key|pwd)s?(?![a-z])"
 PLAIN_WORDS = r"(?i)(?<![a-z])(sha|commit|hash|md|uuid|guid|digest|checksum|revision|etag|card|phone|isbn|build|serial|order|invoice|https?|www|id)(?![a-z])"
-FEATURES = ("length", "transitions", "transition_share", "dictionary", "digits", "hexadecimal", "slashes", "after_slash", "secret_word", "plain_word", "assigned", "prefix", "block", "test_path", "repeated")
+FEATURES = (
+    "length", "transitions", "transition_share", "dictionary", "digits", "hexadecimal", "slashes", "after_slash", "secret_word", "plain_word", "assigned", "prefix", "block", "test_path", "repeated",
+    "url_password", "secret_after", "plain_after", "closed",
+)
 
 
-def features(text: Column, before: Column, after: Column, path: Column) -> list[Column]:
+def features(text: Column, before: Column, after: Column, path: Column, dictionary: tuple[str, ...] = DICTIONARY) -> list[Column]:
     """FEATURES of a candidate, as doubles."""
     size = F.char_length(text)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     changes = F.char_length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
-    covered = size - F.char_length(F.regexp_replace(F.lower(text), "|".join(DICTIONARY), ""))
+    covered = size - F.char_length(F.regexp_replace(F.lower(text), "|".join(sorted(dictionary, key=lambda w: (-len(w), w))), ""))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     found = [
         F.least(size, F.lit(200)), changes, changes / size, covered / size, F.char_length(F.regexp_replace(text, "[^0-9]", "")) / size,
         flag(text.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.char_length(F.regexp_replace(text, "[^/]", "")), flag(before.rlike(r"[/.@~]$")),
-        flag(before.rlike(SECRET_WORDS)), flag(before.rlike(PLAIN_WORDS)), flag(before.rlike(r"[=:]\W{0,3}$")),
+        flag(before.rlike(SECRET_WORDS)), flag(before.rlike(PLAIN_WORDS)), flag(before.rlike(r"[=:]>?\W{0,6}$")),
         flag(text.rlike(f"^({KNOWN})")), flag(text.startswith("-----BEGIN")),
         flag(path.rlike("(?i)(test|example|fixture|mock|sample)")), F.char_length(F.regexp_replace(text, r"(.)\1+", "$1")) / size,
+        flag(before.rlike(f"{URL}$")), flag(after.rlike(SECRET_WORDS)), flag(after.rlike(PLAIN_WORDS)), flag(after.rlike(r"^([\s\"'`@]|$)")),
     ]
     return [c.cast("double").alias(n) for n, c in zip(FEATURES, found, strict=True)]
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
-    """Findings with label 1 (a secret) or 0, made by rules: assigned random tokens against hashes, numbers, names and paths."""
+    """Findings with label 1 (a secret) or 0, made by rules: random tokens in settings, URLs and headers against hashes,
+    numbers, names, paths and placeholders in the same surroundings. Words are random letters, so no text is learned."""
     rng = np.random.default_rng(seed)
     pick = lambda letters, k: "".join(rng.choice(list(letters), k))
     one = lambda *options: options[rng.integers(len(options))]
     hexes, digits, full = "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     word = lambda: pick("aeinorstlmdu", rng.integers(2, 9))
+    name = lambda: one("token", "TOKEN", "secret", "api_key", "password", "auth_token", "access key", "private_key", "client_secret", "passwd", "Token", "API-KEY", "passphrase", "signing_key")
+    names = lambda k: "_".join(one(*DICTIONARY) for _ in range(k))
     out = []
     for i in range(n):
-        left = " ".join(word() for _ in range(4)) + one(" ", ". ", "\n", "*** ")
-        right = one('"', "'", "", '"!! ') + " " + word()
+        left = " ".join(word() for _ in range(4)) + one(" ", ". ", "\n", "; ", " - ", ", ")
+        right = one('"', "'", "", '",', " #") + " " + word() + " " + word()
         path = one("", "", "", "src/main", "docs", "test/fixtures")
+        sign = one(" = ", "=", ": ", " := ", " => ", ":") + one('"', "'", "")
         if i % 2:
-            text = one(pick(hexes, one(32, 40, 64)), pick(hexes, 40), pick(hexes, 40).upper(), pick(full, rng.integers(20, 64)), pick(full + "+/", 43) + "=", pick(full + "_-", rng.integers(24, 48)))
-            name = one("token", "TOKEN", "secret", "api_key", "password", "auth_token", "access key", "private_key", "client_secret", "passwd", "Token", "API-KEY")
-            left += name + one(" = ", "=", ": ", " := ", " ", "!! =!! ") + one('"', "'", "")
-            kind = rng.integers(5)
-            if kind == 0:
-                text, left = one("AKIA" + pick(full[:26] + digits, 16), "ghp_" + pick(full, 36), "sk-" + pick(full, 40), "xoxb-" + pick(digits, 11) + "-" + pick(full, 24), "eyJ" + pick(full, 60), "AIza" + pick(full, 35)), one(left, word() + " ")
-            elif kind == 2:  # passwords, short or of letters alone
-                text = one(pick(full, rng.integers(8, 16)), pick(full[:52], rng.integers(8, 30)), pick(full + "!@#$%^&*", rng.integers(8, 16)), pick(full[26:52], rng.integers(8, 24)))
-                left = left.rstrip(' "\'') + one("", " ", ' "', '"') if left.rstrip(' "\'')[-1] in "=:" else left + one("=", ": ", ' = "')
-            elif kind == 1 and i % 4 == 1:
-                of, head = one(("RSA ", ""), ("", ""), ("OPENSSH ", ""), ("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexes.upper(), 32) + "\n\n"), ("PGP ", "Version: GnuPG v2\n\n"))
+            kind = rng.integers(7)
+            if kind == 0:  # known kinds, named or not
+                text, left = one("AKIA" + pick(full[:26] + digits, 16), "ghp_" + pick(full, 36), "sk-" + pick(full, 40), "xoxb-" + pick(digits, 11) + "-" + pick(full, 24), "eyJ" + pick(full, 20) + "." + pick(full + "_-", 40) + "." + pick(full + "_-", 43), "AIza" + pick(full, 35)), one(left, word() + " ", left + name() + sign)
+            elif kind == 1:  # passwords, short or of letters alone
+                text = one(pick(full, rng.integers(8, 16)), pick(full[:52], rng.integers(8, 30)), pick(full + "!@#$%^&*", rng.integers(8, 16)), pick(full[26:52], rng.integers(8, 24)), one(*DICTIONARY).title() + pick(digits, rng.integers(2, 5)) + one("!", "#", "$"))
+                left += name() + sign
+            elif kind == 2:  # key blocks
+                of, head = one(("RSA ", ""), ("", ""), ("OPENSSH ", ""), ("EC ", ""), ("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexes.upper(), 32) + "\n\n"), ("PGP ", "Version: GnuPG v2\n\n"))
                 kind_of = of + "PRIVATE KEY" + (" BLOCK" if of == "PGP " else "")
-                text, left, right = f"-----BEGIN {kind_of}-----\n" + head + pick(full, one(200, 300, 900)) * one(1, 1, 5) + f"\n-----END {kind_of}-----", one(left, word() + "\n", word() + " ", ""), one("\n", " ", "")
+                text, left, right = f"-----BEGIN {kind_of}-----\n" + head + pick(full, one(200, 300, 900)) * one(1, 1, 5) + f"\n-----END {kind_of}-----", one(left, word() + "\n", word() + " ", "", left + name() + sign), one("\n", " ", "")
+            elif kind == 3:  # passwords in URLs
+                text = one(pick(full, rng.integers(6, 24)), pick(full[26:52], rng.integers(6, 14)) + pick(digits, rng.integers(0, 4)), pick(full + "!$%^&*", rng.integers(6, 16)))
+                left, right = left + one("postgres", "mysql", "https", "amqp", "redis", "mongodb+srv") + "://" + one(word(), "", "admin", "root") + ":", "@" + word() + one(".com", "", ":5432") + "/" + word()
+            elif kind == 4:  # headers, with or without the name
+                text, left = pick(full + "_-", rng.integers(20, 60)), left + one("Authorization: Bearer ", "bearer ", "Authorization: Basic ", "-H 'X-Api-Key: ", "Bearer ")
+            else:  # assigned random tokens
+                text = one(pick(hexes, one(32, 40, 64)), pick(hexes, 40), pick(hexes, 40).upper(), pick(full, rng.integers(16, 64)), pick(full + "+/", 43) + "=", pick(full + "_-", rng.integers(24, 48)), pick(full[:52], rng.integers(20, 40)))
+                left += one(name(), word() + "_" + name()) + one(sign, sign, " ", " is ")
         else:
-            kind = rng.integers(9)
-            if kind == 8:  # names and placeholders where a secret would be
-                text = one("_".join(one(*DICTIONARY) for _ in range(rng.integers(2, 4))), "x" * int(rng.integers(8, 24)), "*" * int(rng.integers(8, 16)), "your" + one("-", "_", "") + one(*DICTIONARY), "${" + one(*DICTIONARY).upper() + "_" + one(*DICTIONARY).upper() + "}", "changeme" + pick(digits, rng.integers(0, 3)), "example-" + one(*DICTIONARY), "/".join(["", one(*DICTIONARY), one(*DICTIONARY)]))
-                left += one("password", "token", "secret", "api_key", "passwd") + one(" = ", "=", ": ") + one('"', "")
-            elif kind == 0:  # card and account numbers
+            kind = rng.integers(10)
+            if kind == 0:  # card and account numbers
                 text = pick(digits, rng.integers(16, 20))
                 left += one("", "card ", "order ", "")
             elif kind == 1:
                 text = "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))
-                left += one("uuid ", "id: ", "", "guid=")
-            elif kind == 2:
+                left += one("uuid ", "id: ", "", "guid=", "request_id = ")
+            elif kind == 2:  # digests, named before or after
                 text = pick(hexes, one(32, 40, 64))
-                left += one("commit ", "sha1: ", "md5 = ", "checksum ", "", "revision ", "etag: ")
+                left, right = one((left + one("commit ", "sha1: ", "md5 = ", "checksum ", "revision ", "etag: ", "digest="), right), (left, one(" sha256 ", " (commit) ", "  checksum of ", " md5 ") + word()), (left, right))
             elif kind == 3:
-                text = "_".join(one(*DICTIONARY) for _ in range(3)) + "_" + pick(digits, rng.integers(1, 5))
+                text = names(3) + "_" + pick(digits, rng.integers(1, 5))
                 left += one("", "key = ", "token: ", "")
             elif kind == 4:
                 text = "/".join([one(*DICTIONARY), one(*DICTIONARY), word() + pick(digits, 2), word()]).ljust(16, "a")
-                left += one("/", "https://", "path: ", "~")
+                left += one("/", "https://", "path: ", "~", "secret: /")
             elif kind == 5:
                 text = one("x" * 20 + pick(digits, 4), "0" * 24, "1234567890123456", "EXAMPLE" + pick(digits, 12), "your-token-here-123", "changeme1234567890")
                 left += one("token = ", "password: ", "api_key=", "") + one('"', "")
             elif kind == 6:
                 text = (word() + word() + word() + pick(digits, rng.integers(1, 4)) + word()).ljust(16, "e")
-            else:
+            elif kind == 7:
                 text = "=" * rng.integers(16, 60) + pick(digits, 1)
+            elif kind == 8:  # names and placeholders where a secret would be
+                text = one(names(rng.integers(2, 4)), "x" * int(rng.integers(8, 24)), "*" * int(rng.integers(8, 16)), "your" + one("-", "_", "") + one(*DICTIONARY), "${" + names(2).upper() + "}", "changeme" + pick(digits, rng.integers(0, 3)), "example-" + one(*DICTIONARY), "/".join(["", one(*DICTIONARY), one(*DICTIONARY)]), "".join(one(*DICTIONARY).title() for _ in range(3)) + one("()", ""), one(*DICTIONARY) + "." + one(*DICTIONARY) + "." + one(*DICTIONARY))
+                left += name() + sign
+            else:  # names in mixed letters
+                text = (one(*DICTIONARY) + "".join(one(*DICTIONARY).title() for _ in range(3))).ljust(20, "s")
+                left += one("", one(*DICTIONARY) + ".", "class ", name() + sign)
         out.append({"text": text, "before": left[-BEFORE:], "after": right[:AFTER], "path": path, "label": i % 2})
     return out
 
@@ -158,18 +188,35 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, se
 
 
 def vote(forest: list, row: Column) -> Column:
-    """The forest's probability for a struct of features."""
+    """The forest's probability for an array of features.
+
+    Nodes of all trees are numbered in constant arrays, and a step goes from a node to one below it; a leaf stays where it
+    is. So the expression is as small for a large forest as for a small one.
+    """
+    nodes: list[tuple] = []
 
-    def tree(node) -> Column:
+    def number(node) -> int:
+        at = len(nodes)
+        nodes.append(())
         if isinstance(node, float):
-            return F.lit(node)
-        f, t, low, high = node
-        return F.when(row[FEATURES[f]] <= t, tree(low)).otherwise(tree(high))
+            nodes[at] = (0, 0.0, at, at, node)
+        else:
+            f, t, low, high = node
+            nodes[at] = (f, t, number(low), number(high), 0.0)
+        return at
+
+    def depth(node) -> int:
+        return 0 if isinstance(node, float) else 1 + max(depth(node[2]), depth(node[3]))
+
+    roots = [number(t) for t in forest]
+    fixed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    f, t, low, high, value = (fixed(c, k) for c, k in zip(zip(*nodes, strict=True), ("int", "double", "int", "int", "double"), strict=True))
+    steps = F.sequence(F.lit(1), F.lit(max(1, *map(depth, forest), 1)))
+
+    def leaf(root: Column) -> Column:
+        return F.aggregate(steps, root, lambda n, _: F.when(F.get(row, F.get(f, n)) <= F.get(t, n), F.get(low, n)).otherwise(F.get(high, n)))
 
-    total = tree(forest[0])
-    for t in forest[1:]:
-        total = total + tree(t)
-    return total / len(forest)
+    return F.aggregate(fixed(roots, "int"), F.lit(0.0), lambda total, root: total + F.get(value, leaf(root))) / len(forest)
 
 
 _forests: dict[str, list] = {}
@@ -194,20 +241,25 @@ def _default_findings() -> list[dict]:
     return labelled_findings()
 
 
-PARTS, FOUND, SCORED = "__secret_parts", "__secret_found", "__secret_scored"
+PARTS, FOUND, SCORED, LEADS = "__secret_parts", "__secret_found", "__secret_scored", "__secret_leads"
 
 
 def scored(docs: DataFrame, text: str = "text", path: str | None = None, forest: list | None = None) -> DataFrame:
     """The rows with PARTS (what lies between candidates), FOUND (candidates) and SCORED (their probabilities).
 
-    Null and empty texts have no candidates and come through unchanged.
+    Null and empty texts have no candidates and come through unchanged; a null path is empty; texts of any length are
+    searched whole.
     """
     forest = forest or default_forest(docs.sparkSession)
     where = F.coalesce(docs[path].cast("string"), F.lit("")) if path else F.lit("")
-    found = F.coalesce(F.regexp_extract_all(docs[text], F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
-    out = docs.withColumn(FOUND, found)
-    out = out.withColumn(PARTS, F.when(F.size(FOUND) > 0, F.split(F.col(text), CANDIDATE, -1)))
-    near = F.transform(FOUND, lambda m, i: F.struct(*features(m, F.right(F.get(F.col(PARTS), i), F.lit(BEFORE)), F.left(F.get(F.col(PARTS), i + 1), F.lit(AFTER)), where)))
+    whole = F.coalesce(F.regexp_extract_all(docs[text], F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
+    out = docs.withColumn(FOUND, whole)
+    out = out.withColumn(LEADS, F.transform(FOUND, lambda m: F.regexp_extract(m, LEAD, 0)))
+    # What names a value goes to the part before it.
+    parts = F.zip_with(F.split(F.col(text), CANDIDATE, -1), LEADS, lambda p, named: F.concat(p, F.coalesce(named, F.lit(""))))
+    values = F.zip_with(FOUND, LEADS, lambda m, named: F.substr(m, F.char_length(named) + 1))
+    out = out.withColumns({PARTS: F.when(F.size(FOUND) > 0, parts), FOUND: values})
+    near = F.transform(FOUND, lambda m, i: F.array(*features(m, F.right(F.get(F.col(PARTS), i), F.lit(BEFORE)), F.left(F.get(F.col(PARTS), i + 1), F.lit(AFTER)), where)))
     return out.withColumn(SCORED, F.transform(near, lambda x: vote(forest, x)))
 
 
@@ -217,14 +269,13 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     The secret itself is not given. Repeated rows give repeated findings.
     """
     some = scored(docs.select(*dict.fromkeys([key, text, *([path] if path else [])])), text, path, forest)
-    hit = some.where(F.exists(SCORED, lambda s: s >= THRESHOLD))
-    each = hit.select(key, PARTS, FOUND, F.posexplode(SCORED).alias("ordinal", "score")).where(F.col("score") >= THRESHOLD)
-    length_of = lambda column, to: F.aggregate(F.slice(column, 1, to), F.lit(0), lambda n, s: n + F.char_length(s))
-    text_of = F.get(F.col(FOUND), F.col("ordinal"))
-    return each.select(
-        key, "ordinal", (length_of(PARTS, F.col("ordinal") + 1) + length_of(FOUND, F.col("ordinal"))).cast("long").alias("start"),
-        F.char_length(text_of).cast("long").alias("length"), F.round("score", 6).alias("score"), F.sha2(text_of, 256).alias("secret_sha256"),
-    )
+    # A candidate starts after all parts and candidates before it; each part is measured with the candidate that follows it.
+    sizes = F.zip_with(PARTS, FOUND, lambda p, m: F.char_length(p) + F.coalesce(F.char_length(m), F.lit(0)))
+    ends = F.aggregate(sizes, F.array().cast("array<long>"), lambda at, n: F.concat(at, F.array(F.coalesce(F.element_at(F.when(F.size(at) > 0, at), -1), F.lit(0).cast("long")) + n)))
+    each = some.select(key, FOUND, SCORED, F.when(F.size(FOUND) > 0, ends).alias("__secret_ends"))
+    found = F.transform(FOUND, lambda m, i: F.struct(i.alias("ordinal"), (F.get("__secret_ends", i) - F.char_length(m)).alias("start"), F.char_length(m).cast("long").alias("length"), F.round(F.get(SCORED, i), 6).alias("score"), F.sha2(m, 256).alias("secret_sha256")))
+    # Candidates are rows before any is left out: a filter on their scores that went below would make the search run twice.
+    return each.select(key, F.inline(found)).where(F.col("score") >= THRESHOLD)
 
 
 def redact(docs: DataFrame, text: str = "text", path: str | None = None, forest: list | None = None, mask: str = MASK) -> DataFrame:

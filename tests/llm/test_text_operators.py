@@ -450,6 +450,6 @@ def test_forest_held_out(spark):
     forest = secret_scan.default_forest(spark)
     from pyspark.sql import functions as F
 
-    scored = rows.select("label", F.struct(*secret_scan.features(F.col("text"), F.col("before"), F.col("after"), F.col("path"))).alias("x")).select("label", secret_scan.vote(forest, F.col("x")).alias("p"))
+    scored = rows.select("label", F.array(*secret_scan.features(F.col("text"), F.col("before"), F.col("after"), F.col("path"))).alias("x")).select("label", secret_scan.vote(forest, F.col("x")).alias("p"))
     wrong = scored.where("(p >= 0.5) <> (label = 1)").count()
     assert wrong <= 0.05 * 800
