@@ -273,30 +273,19 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             found = np.fromiter(map(fingerprint, texts_of(batch, text)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
 
-    rows = stash(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "marked")
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    rows = stash(marked.withColumn("__id", F.monotonically_increasing_id()), "marked")
     nodes = stash(rows.select(F.col("__fp").alias("fp")).distinct(), "nodes")
-    return one_of_each(rows, "__fp", stash(connected(links(nodes), "a", "b"), "roots"), key).select(*docs.columns)
+    return one_of_each(rows, "__fp", stash(connected(links(nodes), "a", "b"), "roots"), key, text).select(*docs.columns)
 
 
-def one_of_each(rows: DataFrame, node: str, roots: DataFrame, key: str) -> DataFrame:
-    """One row of each component of written rows; roots: (node, root) of nodes that link to another.
+def one_of_each(rows: DataFrame, node: str, roots: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of each component of written rows, that of the smallest id and, of these, of the least hash of its text.
 
-    Rows are told apart by component, id and a hash of all columns, never by id alone: ids may be null or stand for several
-    texts. What goes is joined as an anti-join; rows that are equal in all columns are one at the end.
+    roots: (node, root) of nodes that link to another. Rows are told apart by __id, which was written with them. Each node
+    gives one row before anything is joined, so that a crowd of copies is no large group.
     """
-    data = [c for c in rows.columns if c != node]
-    digest = F.sha2(F.to_json(F.struct(*data), {"ignoreNullFields": "false"}), 256)
-    row = F.struct(F.col(key).isNotNull(), F.col(key), F.col("digest"))
-    small = rows.select(F.col(node).alias("n"), key, digest.alias("digest"))
-    small = small.join(roots, small["n"] == roots["node"], "left").select("n", F.coalesce("root", "n").alias("root"), row.alias("row"))
-    small = stash(small.groupBy("n", "root", "row").count(), "rows")
-    least = stash(small.groupBy("root").agg(F.min("row").alias("least")), "least")
-    drop = stash(small.join(least, "root").where(F.col("row") != F.col("least")).select(F.col("n").alias("__gone"), F.col("row.digest").alias("__digest")), "dropped")
-    kept = rows.join(drop, (F.col(node) == F.col("__gone")) & (digest == F.col("__digest")), "left_anti")
-    twice = stash(small.join(least, "root").where("row = least AND count > 1").select(F.col("n").alias("__twice"), F.col("row.digest").alias("__digest")), "repeated")
-    if twice.isEmpty():
-        return kept
-    same = (F.col(node) == F.col("__twice")) & (digest == F.col("__digest"))
-    once = kept.join(twice, same, "left_anti")
-    some = kept.join(twice, same, "left_semi").groupBy(node, digest.alias("__digest")).agg(*[F.first(c).alias(c) for c in data])
-    return once.unionByName(some.select(*rows.columns))
+    row = F.struct(F.col(key).isNotNull(), F.col(key), F.xxhash64(text), F.col("__id").alias("id"))
+    best = stash(rows.groupBy(F.col(node).alias("n")).agg(F.min(row).alias("row")), "best")
+    chosen = best.join(roots, best["n"] == roots["node"], "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("row").alias("row"))
+    return rows.join(stash(chosen.select(F.col("row.id").alias("__id")), "chosen"), "__id", "left_semi")

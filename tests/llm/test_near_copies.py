@@ -16,7 +16,6 @@ def table(spark, rows):
 @pytest.mark.parametrize("crowd", [near_copies.CROWD, 3])
 def test_all_links_of_five_word_shingles(spark, monkeypatch, crowd):
     monkeypatch.setattr(near_copies, "CROWD", crowd)
-    monkeypatch.setattr(near_copies, "FREQUENT", 4)
     rng = np.random.default_rng(4)
     texts = []
     for _ in range(12):
