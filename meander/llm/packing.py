@@ -2,7 +2,8 @@
 
 Tokens: byte-level BPE of a public vocabulary file. Where the file's merges are in the order of their ids, a tokenizer
 that merges by rank gives the same ids several times faster, and takes all texts of Latin letters and common punctuation;
-any other text, on which two Unicode versions may differ, goes to the tokenizer of the file.
+any other text, on which two Unicode versions may differ, goes to the tokenizer of the file, and so does one with a special
+string of the vocabulary.
 
 Packing: bounded-space online best-fit. A packer holds at most OPEN_BINS open sequences, as stacks by free space with one
 bit per non-empty stack; a piece goes to the open sequence that leaves the least room, found by shifting the bit set. When
@@ -61,20 +62,24 @@ class Encoder:
     def tokenizer(self):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.vocabulary)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(self.vocabulary)
 
-    @staticmethod
-    def _by_ranks(vocabulary: str):
-        """The same vocabulary as ranks, if each merge makes the next id: then merging by rank and by the list are one."""
+    def _by_ranks(self, vocabulary: str):
+        """The same vocabulary as ranks, if it splits texts as SPLIT does and each merge makes the next id: then merging by rank
+        and by the list are one. Texts with one of its added strings are left to the tokenizer of the file."""
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, before = whole["model"], whole.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in whole.get("added_tokens") or []]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if model.get("type") != "BPE" or whole.get("normalizer") or whole.get("truncation") or whole.get("padding") or not plain or not split:
+            return None
         merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         ids, byte = model["vocab"], letters()
-        if any(ids.get(m) != 256 + i for i, m in enumerate(merges)) or {ids[c] for c in byte} != set(range(256)):
+        if any(ids.get(m) != 256 + i for i, m in enumerate(merges)) or {ids.get(c) for c in byte} != set(range(256)):
             return None
         ranks = {bytes(byte[c] for c in token): i for token, i in ids.items() if i < 256 + len(merges)}
         return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -83,7 +88,8 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast and PLAIN.fullmatch(text) else self.whole(text)
+        fast = self.fast and PLAIN.fullmatch(text) and not any(a in text for a in self.added)
+        ids = self.fast.encode_ordinary(text) if fast else self.whole(text)
         return np.array(ids, "<u4").tobytes()
 
 
@@ -201,5 +207,9 @@ def pack(found: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE, open_b
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, text: str = "text", key: str = "doc_id", sequence: int = SEQUENCE, **options) -> DataFrame:
-    """Tokenise once, write the pieces' numbers (not their ids) to the shared folder, and pack them."""
+    """Tokenise once, write the pieces' numbers (not their ids) to the shared folder, and pack them.
+
+    A null or empty text is one piece of the end id alone; null keys and repeated rows are documents of their own; an empty
+    table gives no rows; further columns are not read. A text of any length is tokenised whole.
+    """
     return pack(stash(pieces(docs, vocabulary, text, key, sequence), "pieces"), key, sequence, **options)
