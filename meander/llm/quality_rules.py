@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,15 +125,15 @@ def count_grams(docs: DataFrame, text: str, lang: str, order: int = ORDER) -> Da
     return some.mapInArrow(run, "l long, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
 
 
-def discounts(level: DataFrame) -> DataFrame:
-    """(l, d1, d2, d3): modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the numbers of counts 1 to 4."""
-    of = level.groupBy("l").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+def discounts(levels: DataFrame) -> DataFrame:
+    """(k, l, d1, d2, d3): modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the numbers of counts 1 to 4; levels: (k, l, n)."""
+    of = levels.groupBy("k", "l").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
     n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
     enough = (n1 > 0) & (n2 > 0)
     within = lambda x, k: F.least(F.greatest(x, F.lit(0.05)), F.lit(k - 0.05))
     return of.select(
-        "l", F.when(enough, within(1 - 2 * y * n2 / n1, 1)).otherwise(0.5).alias("d1"), F.when(enough, within(2 - 3 * y * n3 / n2, 2)).otherwise(0.75).alias("d2"),
+        "k", "l", F.when(enough, within(1 - 2 * y * n2 / n1, 1)).otherwise(0.5).alias("d1"), F.when(enough, within(2 - 3 * y * n3 / n2, 2)).otherwise(0.75).alias("d2"),
         F.when(enough & (n3 > 0), within(3 - 4 * y * n4 / n3, 3)).otherwise(0.9).alias("d3"),
     )
 
@@ -146,10 +147,12 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
     levels = [grams]
     for k in range(order - 1, 0, -1):
         levels.insert(0, stash(levels[0].groupBy("l", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n")), "level"))
+    # Three numbers a language and order, written, so that Spark knows how small they are.
+    cuts = stash(discounts(reduce(DataFrame.unionByName, [level.select(F.lit(k).alias("k"), "l", "n") for k, level in enumerate(levels, 1)])), "discounts")
     below, probabilities, contexts = None, [], []
     for k, level in enumerate(levels, 1):
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = level.join(discounts(level), "l").select("l", "gram", "n", cut.alias("cut"), F.shiftright("gram", 8).alias("context"))
+        own = level.join(cuts.where(F.col("k") == k).drop("k"), "l").select("l", "gram", "n", cut.alias("cut"), F.shiftright("gram", 8).alias("context"))
         back = stash(own.groupBy("l", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cut_total")).select("l", "context", "total", (F.col("cut_total") / F.col("total")).alias("back")), "context")
         rows = own.join(back, ["l", "context"]).select("l", "gram", "n", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "back", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("lower"))
         if below is None:
@@ -159,13 +162,7 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
         below = stash(found, "probability")
         probabilities.append(below.select("l", F.lit(k).alias("k"), "gram", "p", "n"))
         contexts.append(back.select("l", F.lit(k).alias("k"), F.col("context").alias("gram"), F.col("back").alias("p"), F.col("total").alias("n")))
-    both = []
-    for tables in (probabilities, contexts):
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        both.append(out)
-    return both[0], both[1]
+    return reduce(DataFrame.unionByName, probabilities), reduce(DataFrame.unionByName, contexts)
 
 
 def hashed(lang, k, gram: np.ndarray) -> np.ndarray:

@@ -1,33 +1,40 @@
 """WARC archives and their index.
 
-Writing: one record a capture, payloads in UTF-8 after an HTTP head. Spark's text writer puts the records into gzip
-files on whatever store the session uses: a record's blank lines are the writer's line separator. Of records with equal
-payloads the one of the smallest id is a response, and all others are revisits of it without a payload.
-
-Reading: each file is read whole (its records are bounded by RECORDS_A_FILE), its records are taken by Content-Length and
-their digests are checked, and its captures come out sorted by URL key and timestamp: one run a file.
-
-Index: runs are cut at common boundaries of (URL key, timestamp, id), which Spark samples, and every task merges its
-slices of all runs with a loser tree, spilling nothing as it holds RANGE_ROWS index rows or so. Partitions in order are
-the whole capture history in order, and a URL with very many captures is cut by time like any other rows.
+Writing: one record a capture, payloads in UTF-8 after an HTTP head, each record a gzip member of its own. An archive file
+takes at most RECORDS_A_FILE records and FILE_BYTES compressed bytes and one record. Of records with equal payloads the
+one of the smallest id is a response, and all others are revisits of it without a payload. Spark's text writer puts the
+members on whatever store the session uses: a row is a whole file, and as the last byte of a member is the highest byte of
+its record's size, zero below 16 MB, that byte is the writer's line separator (a larger record gets an empty member
+behind it).
+
+Reading: files are read whole and member by member; a member's place in its file is kept, so a record can be sought to.
+Digests are checked, and the captures of a file come out sorted by URL key, timestamp and id: one run a file, in blocks of
+BLOCK_ROWS index rows.
+
+Index: runs are merged by a loser tree, as runs on disk are. Boundaries of ranges are taken from the blocks' first keys, and
+blocks are cut at them. The pieces of a range come to its task in order of their first rows, so the task reads a piece when
+the merge reaches its first row, and holds the pieces that are open, one a run; Spark's shuffle spills what waits. Ranges
+in order are the whole capture history in order, and a URL with very many captures is cut by time like any other rows.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
+import bisect
 import hashlib
+import heapq
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stash
+from .common import new_folder, released, stash, texts_of
 
-RECORDS_A_FILE, RANGE_ROWS = 5_000, 250_000
+RECORDS_A_FILE, FILE_BYTES, BLOCK_ROWS, RANGE_ROWS = 5_000, 32_000_000, 500, 250_000
 LEAST_BYTES = 0
 SEPARATOR = "\r\n\r\n"
 #: The date of a capture without one: this second plus its id.
@@ -63,8 +70,12 @@ def head(kind: str, date, url, extra: list, length) -> F.Column:
     return F.concat(F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Date: "), stamp, F.lit("\r\nWARC-Target-URI: "), uri, *extra, F.lit("\r\nContent-Length: "), length.cast("string"), F.lit(SEPARATOR))
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str | None = None, least_bytes: int = LEAST_BYTES) -> None:
-    """Write every row as a record under `path`. Repeated rows are repeated records."""
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str | None = None, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Write every row as a record under `path`.
+
+    Repeated rows are repeated records; a null id has none in its record and is no revisit; line breaks in a URL become
+    blanks, as heads have one line a field; an empty table writes no records; further columns are not read.
+    """
     rows = captures(pages, key, url, html, date)
     again = stash(decide(rows, least_bytes), "revisits")
     hashed = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
@@ -78,7 +89,42 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     refers = [F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:capture:"), F.col("first").cast("string"), F.lit(">")]
     revisit = F.concat(head("revisit", F.col("date"), F.col("url"), common + refers, F.octet_length(http)), http)
     record = F.when(F.col("first").isNull(), response).otherwise(revisit)
-    joined.select(record.alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    # A file is a row of its own: its last byte is the separator.
+    joined.select(record.alias("record")).mapInArrow(packer(file_bytes, RECORDS_A_FILE), "value string").write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member whose last byte is zero, or with an empty member behind it that has such a byte."""
+    found = _gzip(raw)
+    return found if found[-1] == 0 else found + _gzip(b"")
+
+
+def _gzip(raw: bytes) -> bytes:
+    press = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return press.compress(raw) + press.flush()
+
+
+def packer(file_bytes: int, file_records: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Records to the contents of archive files, without their last byte."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:  # the writer takes a string's bytes as they are
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary()).view(pa.string())], ["value"])
+
+        for batch in batches:
+            for raw in texts_of(batch, "record"):
+                held.append(member(raw + SEPARATOR.encode()))
+                size += len(held[-1])
+                if size >= file_bytes or len(held) >= file_records:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
+
+    return run
 
 
 #: The letters of base32 (RFC 4648).
@@ -97,8 +143,21 @@ def base32(sha1_hex: F.Column) -> F.Column:
 FIELD = re.compile(rb"([\w-]+): ?([^\r\n]*)\r\n")
 
 
+def members(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """(contents, place) of each gzip member of a file that is not empty; one at a time."""
+    at = 0
+    while at < len(raw):
+        press = zlib.decompressobj(31)
+        found = press.decompress(memoryview(raw)[at:])
+        if not press.eof:
+            raise ValueError(f"a member that does not end, at {at}")
+        if found:
+            yield found, at
+        at = len(raw) - len(press.unused_data)
+
+
 def records(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, int]]:
-    """(head, block, place) of each record of an archive."""
+    """(head, block, place) of each record of what archives hold, not compressed."""
     at = 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
@@ -108,6 +167,12 @@ def records(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, int]]:
         at = end + 4 + size + 4
 
 
+def record_at(raw: bytes, place: int) -> tuple[dict[bytes, bytes], bytes]:
+    """(head, block) of the record whose member starts at `place` of an archive file."""
+    fields, block, _ = next(records(zlib.decompressobj(31).decompress(memoryview(raw)[place:])))
+    return fields, block
+
+
 def url_key(url: str) -> str:
     """The host's labels from the last, then the path: captures of a site lie together. No scheme, no `www.`, no fragment."""
     _, there, rest = url.partition("://")
@@ -117,25 +182,47 @@ def url_key(url: str) -> str:
 
 #: url_key, date, id, type, digest, payload bytes, id referred to, url, file, place in the file
 INDEX = "url_key string, date string, id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, file string, place long"
+NAMES = [x.split()[0] for x in INDEX.split(", ")]
+KINDS = [pa.int64() if x.endswith("long") else pa.string() for x in INDEX.split(", ")]
 KEY = ("url_key", "date", "id")
+#: A block or piece of a run: its range, and the key of its first row with the run's name and the row's place in the run.
+PIECE = "url_key string, date string, id long, run string, seq long, rows binary"
+
+
+def key_of(row: tuple) -> tuple:
+    """The order of index rows; a null id comes first."""
+    return row[0], row[1], row[2] is not None, row[2] or 0
+
+
+def to_bytes(rows: list[tuple]) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
 
+def from_bytes(raw: bytes) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(raw).read_all().columns), strict=True))
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives under `path`, those of each file sorted by URL key, date and id.
 
-    A response whose payload has not the digest of its head raises an error.
+def scan(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """PIECE: the captures of all archives under `path` as runs, one a file, sorted by URL key, date, id and place, in blocks.
+
+    A response whose payload has not the digest of its head raises an error. Of a file, its index rows are held.
     """
 
     def number(urn: bytes | None) -> int | None:
         found = re.fullmatch(rb"<urn:capture:(-?\d+)>", urn or b"")
         return int(found[1]) if found else None
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                name, raw = batch.column(0)[i].as_py(), gzip.decompress(batch.column(1)[i].as_py())
+                name, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 rows = []
-                for fields, block, place in records(raw):
+                for fields, block, place in ((f, b, at) for whole, at in members(raw) for f, b, _ in records(whole)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, digest = fields[b"warc-type"].decode(), fields[b"warc-payload-digest"].decode().removeprefix("sha1:")
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -143,85 +230,160 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"damaged record in {name} at {place}")
                     url = fields[b"warc-target-uri"].decode("utf-8", "replace")
                     rows.append((url_key(url), fields[b"warc-date"].decode(), number(fields[b"warc-record-id"]), kind, digest, size, number(fields.get(b"warc-refers-to")), url, name, place))
-                rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[9]))
-                columns = list(zip(*rows, strict=True)) or [()] * 10
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+                rows.sort(key=lambda r: (*key_of(r), r[9]))
+                yield from pieces((rows[s : s + block_rows], name, s) for s in range(0, len(rows), block_rows))
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, PIECE)
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(run, INDEX)
+def pieces(parts) -> Iterator[pa.RecordBatch]:
+    """Batches of PIECE of (rows, run, place of the first row in the run), a few rows at a time."""
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    for rows, run, seq in parts:
+        values = [*rows[0][:3], run, seq, to_bytes(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
 
 class LoserTree:
-    """Merges sorted runs: one comparison a level for each row, between the row that moves up and the loser it meets."""
-
-    def __init__(self, runs: list[list]):
-        self.runs = [iter(r) for r in runs] or [iter(())]
-        self.size = len(self.runs)
-        self.head = [next(r, None) for r in self.runs]
-        self.loser = [-1] * self.size
-        for run in range(self.size):
-            self._play(run)
-
-    def _before(self, a: int, b: int) -> bool:
-        """Whether run a's row goes before run b's; an ended run is last, equal rows go by run."""
-        x, y = self.head[a], self.head[b]
+    """Merges sorted runs: one comparison a level for each row, between the row that moves up and the loser it meets.
+
+    Runs may be filled as the merge goes on: an empty run takes further rows by `feed`. Equal rows go by run.
+    """
+
+    def __init__(self, runs: list):
+        self.rest = [iter(r) for r in runs] or [iter(())]
+        self.size = len(self.rest)
+        self.heads = [next(r, None) for r in self.rest]
+        self._build()
+
+    def _first(self, a: int, b: int) -> bool:
+        """Whether run a's row goes before run b's; an empty run is last."""
+        x, y = self.heads[a], self.heads[b]
         if x is None or y is None:
             return y is None and (x is not None or a < b)
-        return x < y or (x == y and a < b)
-
-    def _play(self, run: int) -> None:
+        return x < y or (a < b and not y < x)
+
+    def _build(self) -> None:
+        best, self.loser = [0] * self.size + list(range(self.size)), [0] * self.size
+        for node in range(self.size - 1, 0, -1):
+            a, b = best[2 * node], best[2 * node + 1]
+            best[node], self.loser[node] = (a, b) if self._first(a, b) else (b, a)
+        self.winner = best[1] if self.size > 1 else 0
+
+    def feed(self, run: int, rows: list) -> None:
+        self.rest[run] = iter(rows)
+        self.heads[run] = next(self.rest[run], None)
+        self._build()
+
+    def head(self):
+        """The least row, or None."""
+        return self.heads[self.winner]
+
+    def pop(self):
+        """The least row; the next of its run moves up."""
+        run = self.winner
+        row = self.heads[run]
+        self.heads[run] = next(self.rest[run], None)
         node = (run + self.size) >> 1
         while node:
-            other = self.loser[node]
-            if other == -1:  # the first to come here waits
-                self.loser[node] = run
-                return
-            if self._before(other, run):
-                self.loser[node], run = run, other
+            if self._first(self.loser[node], run):
+                self.loser[node], run = run, self.loser[node]
             node >>= 1
         self.winner = run
+        return row
 
     def __iter__(self) -> Iterator:
-        while True:
-            run = self.winner
-            row = self.head[run]
-            if row is None:
-                return
-            yield row
-            self.head[run] = next(self.runs[run], None)
-            node = (run + self.size) >> 1
-            while node:
-                if self._before(self.loser[node], run):
-                    self.loser[node], run = run, self.loser[node]
-                node >>= 1
-            self.winner = run
-
-
-def merge(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """All captures in one order by URL key, date and id, with `rank` (place among the captures of their range)."""
-    names = [x.split()[0] for x in INDEX.split(", ")]
-    ranges = max(1, -(-index.count() // range_rows))
+        while self.head() is not None:
+            yield self.pop()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        keys = list(zip(table.column("url_key").to_pylist(), table.column("date").to_pylist(), [-(2**63) if x is None else x for x in table.column("id").to_pylist()], range(table.num_rows), strict=True))
-        runs: dict[str, list] = {}
-        for file, key in zip(table.column("file").to_pylist(), keys, strict=True):
-            runs.setdefault(file, []).append(key)
-        # A run's slice arrives in its own order, but for pieces that a shuffle brings out of turn: a sort of what is sorted already.
-        order = np.fromiter((row[3] for row in LoserTree([sorted(runs[f]) for f in sorted(runs)])), np.int64, table.num_rows)
-        merged = table.take(pa.array(order)).append_column("rank", pa.array(np.arange(len(order), dtype=np.int64)))
-        yield from merged.combine_chunks().to_batches(max_chunksize=10_000)
 
-    return index.repartitionByRange(ranges, *KEY).select(*names).mapInArrow(run, INDEX + ", rank long")
+#: Runs that a tree is made for at first; it grows with the number of runs that are open at once.
+OPEN = 8
 
 
-def build_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    return merge(stash(scan(spark, path), "runs"), range_rows)
+def merged(arriving: Iterator[tuple[tuple, Callable[[], list]]]) -> Iterator[tuple]:
+    """Rows of sorted pieces in one order. arriving: (order of the first row, with its run and place
+    there, and its rows when asked), in that order.
+
+    A piece is opened when the merge reaches its first row; by then the piece before it of the same run has ended.
+    """
+    tree, free = LoserTree([()] * OPEN), list(range(OPEN))
+    waiting = next(arriving, None)
+    while True:
+        top = tree.head()
+        while waiting is not None and (top is None or waiting[0] <= top[0]):
+            (*_, run, seq), rows = waiting
+            if not free:  # a larger tree takes the open runs over
+                larger = LoserTree([()] * (2 * tree.size))
+                larger.heads[: tree.size], larger.rest[: tree.size] = tree.heads, tree.rest
+                free, tree = list(range(tree.size, larger.size)), larger
+            tree.feed(heapq.heappop(free), [((*key_of(r), run, seq + i), r) for i, r in enumerate(rows())])
+            waiting, top = next(arriving, None), tree.head()
+        if top is None:
+            return
+        seat = tree.winner
+        yield tree.pop()[1]
+        if tree.heads[seat] is None:
+            heapq.heappush(free, seat)
+
+
+def boundaries(blocks: DataFrame, ranges: int) -> list[tuple]:
+    """Keys at which ranges begin, but for the first: evenly spaced among the blocks' first keys. The driver holds a key a range."""
+    if ranges < 2:
+        return []
+    step = max(1, blocks.count() // ranges)
+    ordered = blocks.select(*KEY).repartitionByRange(min(ranges, 200), *KEY).sortWithinPartitions(*KEY)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    found = ordered.withColumn("place", place).where(F.col("place") % step == step - 1).select(*KEY).distinct().collect()
+    return sorted({key_of(tuple(r)) for r in found})
+
+
+def merge(blocks: DataFrame, range_rows: int = RANGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All captures in one order by URL key, date and id: `range`, and `rank` among the captures of their range. blocks: PIECE, written."""
+    starts = boundaries(blocks, -(-blocks.count() * block_rows // range_rows))
+    at_start = [x.split()[0] for x in PIECE.split(", ")]
+
+    @released
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = from_bytes(row["rows"])
+                low, high = (bisect.bisect_right(starts, key_of(rows[i])) for i in (0, -1))
+                place = [0, *(bisect.bisect_left(rows, s, key=key_of) for s in starts[low:high]), len(rows)]
+                for k, (a, b) in enumerate(zip(place, place[1:], strict=False)):
+                    if a < b:
+                        for piece in pieces([(rows[a:b], row["run"], row["seq"] + a)]):
+                            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([low + k], pa.int32())], [*at_start, "range"])
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arriving():
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield row["range"], ((*key_of((row["url_key"], row["date"], row["id"])), row["run"], row["seq"]), lambda raw=row["rows"]: from_bytes(raw))
+
+        def given(rows: list[tuple], number: int, first: int) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([number] * len(rows), pa.int32()), pa.array(range(first, first + len(rows)), pa.int64())], [*NAMES, "range", "rank"])
+
+        for number, of_range in groupby(arriving(), key=lambda x: x[0]):
+            held, first = [], 0
+            for row in merged(x[1] for x in of_range):
+                held.append(row)
+                if len(held) == 5_000:
+                    yield given(held, number, first)
+                    held, first = [], first + len(held)
+            if held:
+                yield given(held, number, first)
+
+    placed = blocks.mapInArrow(cut, PIECE + ", range int").repartitionByRange(len(starts) + 1, "range")
+    return placed.sortWithinPartitions("range", *KEY, "run", "seq").mapInArrow(run, INDEX + ", range int, rank long")
+
+
+def build_index(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return merge(stash(scan(spark, path, block_rows), "runs"), range_rows, block_rows)
 
 
 def report(pages: DataFrame) -> DataFrame:

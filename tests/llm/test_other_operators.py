@@ -145,15 +145,15 @@ def test_warc(spark):
 def test_warc_files_and_ranges(spark, tmp_path):
     pages = spark.range(500).selectExpr("id AS page_id", "concat('http://h', id % 7, '.com/', id % 3) AS url", "repeat(cast(id % 50 AS string), 9) AS html").repartition(5)
     warc.write(pages, str(tmp_path / "w"))
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     assert raw.count(b"WARC/1.1\r\n") == 500 and len(list(warc.records(raw))) == 500
-    index = warc.build_index(spark, str(tmp_path / "w"), range_rows=100)
+    index = warc.build_index(spark, str(tmp_path / "w"), range_rows=100, block_rows=20)
     assert index.rdd.getNumPartitions() > 2 if hasattr(index, "rdd") else True
     rows = index.collect()
     keys = [(r["url_key"], r["date"], r["id"]) for r in rows]
     assert len(rows) == 500 and keys == sorted(keys)
     assert sum(r["record_type"] == "response" for r in rows) == 50
-    broken = next(p for p in (tmp_path / "w").glob("*.gz") if b"WARC-Type: response" in gzip.decompress(p.read_bytes()))
+    broken = next(p for p in (tmp_path / "w").glob("part-*") if b"WARC-Type: response" in gzip.decompress(p.read_bytes()))
     broken.write_bytes(gzip.compress(gzip.decompress(broken.read_bytes()).replace(b"Payload-Digest: sha1:", b"Payload-Digest: sha1:A")))
     for check in (tmp_path / "w").glob(".*.crc"):
         check.unlink()
