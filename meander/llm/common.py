@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder, stash
 
-__all__ = ["CHUNK_BYTES", "WordTable", "chunks", "new_folder", "read", "released", "stash", "sums", "texts_of", "unsigned_hex"]
+__all__ = ["CHUNK_BYTES", "WordTable", "chunks", "new_folder", "read", "released", "stash", "texts_of", "unsigned_hex"]
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
 CHUNK_BYTES = 2_000_000
@@ -90,14 +90,6 @@ class WordTable:
         return [column[at] for column in self.store]
 
 
-def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of the given lengths; an empty run has sum 0."""
-    total = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, out=total[1:])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
-
-
 def unsigned_hex(column: str):
     """16 lower-case hex digits of a BIGINT."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))

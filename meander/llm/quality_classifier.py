@@ -1,20 +1,20 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word gives features: itself and its byte n-grams of 3 to 5 with a mark at either end, hashed to BUCKETS vectors of
-DIMENSION. A word that repeats the one before it gives AGAIN_TIMES the feature AGAIN besides, which stands for all word
-bigrams of that kind. A document is the average of the vectors of all its features, a softmax layer gives the class, and
-vectors and layer are learned together by stochastic gradient descent in numpy, on the driver.
+Features are hashed to BUCKETS vectors of DIMENSION. A word is the average of the vectors of its features: itself, and its
+byte n-grams of 3 to 5 with a mark at either end. A bigram of a word and the next has a vector of its own; one of a word and
+itself is written as a repetition, whatever the word, so one vector learns it. A document is the average of its words and
+bigrams, a softmax layer gives the class, and vectors and layer are learned together by stochastic gradient descent in
+numpy, on the driver.
 
 Training takes at most SAMPLE labelled documents, those of the smallest hash of their id (a bounded sample, by its
 parameter); of each it takes the whole text, as counts by bucket made on the executors, so the driver holds at most
-SAMPLE * BUCKETS numbers whatever the length of texts. Scoring is the average over features of vector times layer; as
+SAMPLE * BUCKETS numbers of 6 bytes, 590 MB, whatever the length of texts. Scoring is the average of vector times layer; as
 both are linear, the product is taken once a bucket, and once a word for words met before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordTable, chunks, released, sums, texts_of
+from .common import WordTable, chunks, released, texts_of
 
-BUCKETS, DIMENSION, GRAMS = 1 << 16, 8, (3, 4, 5)
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 3000, 5, 16, 0.05, 7
+BUCKETS, DIMENSION, GRAMS = 1 << 15, 8, (3, 4, 5)
+#: STEPS (as many epochs as make up so many batches) and RATE are those of the least log loss on documents of one training
+#: fold after learning from the others.
+SAMPLE, STEPS, BATCH, RATE, SEED = 3000, 900, 16, 0.1, 7
 THRESHOLD = 0.7
-#: The bucket of a repeated word, beyond the hashed ones, and how often it counts.
-AGAIN, AGAIN_TIMES = BUCKETS, 6
 #: The multiplier of the polynomial hash (odd, so that it has an inverse modulo 2**64) and of the final mix.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
 INVERSE = pow(BASE, -1, 1 << 64)
+#: A word's own number: so many bits of its hash as a double keeps.
+WORD_BITS = np.uint64((1 << 52) - 1)
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all features of words, word by word, and how many each word has (one at least)."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(MIX)
+    return h ^ (h >> np.uint64(29))
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int32)
+
+
+#: The bucket of a word that follows itself.
+REPEATED = int(bucket(mixed(np.array([BASE], np.uint64)))[0])
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of words and their n-grams, word by word, how many each word has (one at least), and the words' numbers."""
     raw = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.uint64)
     marked = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(marked) - marked
@@ -49,39 +64,43 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((raw + np.uint64(1)) * up, out=total[1:])
 
     def hashed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-        h = (total[b] - total[a]) * down[a] + np.uint64(kind)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(MIX)
-        return ((h ^ (h >> np.uint64(29))) & np.uint64(BUCKETS - 1)).astype(np.int32)
+        return mixed((total[b] - total[a]) * down[a] + np.uint64(kind))
 
     each = [np.maximum(marked - n + 1, 0) for n in GRAMS]
     count = 1 + sum(each)
     out = np.empty(int(count.sum()), np.int32)
     first = np.cumsum(count) - count
-    out[first] = hashed(starts, starts + marked, 0)
+    own = hashed(starts, starts + marked, 0)
+    out[first] = bucket(own)
     offset = first + 1
     for n, length in zip(GRAMS, each, strict=True):
         run = np.repeat(np.arange(len(words)), length)
         place = np.arange(len(run)) - (np.cumsum(length) - length)[run]
         a = starts[run] + place
-        out[offset[run] + place] = hashed(a, a + n, n)
+        out[offset[run] + place] = bucket(hashed(a, a + n, n))
         offset = offset + length
-    return out, count
+    return out, count, own & WORD_BITS
 
 
-def repeats(words: list[bytes]) -> int:
-    """Words equal to the one before."""
-    return sum(map(eq, words, words[1:]))
+def bigrams(numbers: np.ndarray) -> np.ndarray:
+    """The bucket of each word with the next, by the words' numbers."""
+    a, b = numbers[:-1], numbers[1:]
+    return np.where(a == b, np.int32(REPEATED), bucket(mixed(a * np.uint64(BASE) + b)))
 
 
 def histogram(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a whole text, in order, with their share of all its features."""
-    total = np.zeros(BUCKETS + 1, np.int64)
+    """Buckets of a whole text, in order, with their share of its average."""
+    total = np.zeros(BUCKETS)
     words = text.split()
-    total[AGAIN] = AGAIN_TIMES * repeats(words)
-    for s in range(0, len(words), 200_000):
-        total += np.bincount(features(words[s : s + 200_000])[0], minlength=BUCKETS + 1)
+    step = 200_000
+    for s in range(0, len(words), step):
+        # The first word of the next part goes along, for its bigram.
+        found, count, numbers = features(words[s : s + step + 1])
+        weight = np.repeat(1 / count, count)
+        extra = int(count[-1]) if s + step < len(words) else 0
+        total += np.bincount(found[: len(found) - extra], weight[: len(found) - extra], BUCKETS) + np.bincount(bigrams(numbers), minlength=BUCKETS)
     at = np.flatnonzero(total)
-    return at.astype(np.int32), (total[at] / max(1, total.sum())).astype(np.float32)
+    return at.astype(np.uint16), (total[at] / max(1, 2 * len(words) - 1)).astype(np.float32)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, sample: int) -> DataFrame:
@@ -97,20 +116,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [histogram(raw or b"") for raw in texts_of(batch, "__quality_text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["y", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], ["y", "buckets", "shares"])
 
-    return some.mapInArrow(run, "y int, buckets array<int>, shares array<float>")
+    return some.mapInArrow(run, "y int, buckets binary, shares binary")
 
 
-def learn(y: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def learn(y: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray], epochs: int | None = None) -> tuple[np.ndarray, float]:
     """The weight of each bucket and the bias of label 1 against label 0, by stochastic gradient descent with Adagrad steps."""
     if not len(y) or y.min() == y.max():
         sure = 0.0 if not len(y) else 3.0 if y[0] else -3.0
-        return np.zeros(BUCKETS + 1, np.float32), sure
+        return np.zeros(BUCKETS, np.float32), sure
+    epochs = epochs or -(-STEPS * BATCH // len(y))
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-0.5, 0.5, (BUCKETS + 1, DIMENSION)).astype(np.float32) / DIMENSION
+    vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSION)).astype(np.float32) / DIMENSION
     layer, bias = rng.normal(0, 0.3, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)
-    slow_v, slow_l, slow_b = np.full(BUCKETS + 1, 1e-8, np.float32), np.full_like(layer, 1e-8), np.full(2, 1e-8, np.float32)
+    slow_v, slow_l, slow_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(layer, 1e-8), np.full(2, 1e-8, np.float32)
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(y))
@@ -146,7 +166,7 @@ def learn(y: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray], ep
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     rows = training_rows(docs, labels, text, key, label, sample).toArrow()
     y = rows.column("y").to_numpy().astype(np.int64)
-    buckets, shares = ([x.values.to_numpy(zero_copy_only=False) for x in rows.column(c).combine_chunks()] if len(y) else [] for c in ("buckets", "shares"))
+    buckets, shares = ([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)] for c, kind in (("buckets", np.uint16), ("shares", np.float32)))
     order = sorted(range(len(y)), key=lambda i: (y[i], len(buckets[i]), buckets[i].tobytes()))  # tasks end in any order
     return learn(y[order] if len(y) else y, [buckets[i] for i in order], [shares[i] for i in order])
 
@@ -160,10 +180,9 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value.astype(np.float64)
 
-        def values(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            found, count = features(words)
-            total = np.add.reduceat(weight[found], np.cumsum(count) - count)
-            return total, count
+        def values(words: list[bytes]) -> tuple[np.ndarray, ...]:
+            found, count, numbers = features(words)
+            return np.add.reduceat(weight[found], np.cumsum(count) - count) / count, numbers
 
         table = WordTable(values, 2, 150_000)
         for batch in batches:
@@ -172,10 +191,13 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
                 split = [raw.split() for raw in part]
                 own = [i for i, words in enumerate(split) if words]
                 if own:
-                    total, count = table([w for i in own for w in split[i]])
+                    value, numbers = table([w for i in own for w in split[i]])
                     length = np.array([len(split[i]) for i in own])
-                    again = np.array([AGAIN_TIMES * repeats(split[i]) for i in own])
-                    out[np.array(own) + first] += (sums(total, length) + again * weight[AGAIN]) / (sums(count, length) + again)
+                    pair = weight[bigrams(numbers.astype(np.uint64))]
+                    ends = np.cumsum(length)
+                    pair[ends[:-1] - 1] = 0  # from one document to the next
+                    # Each document is summed by itself: equal texts have equal scores, wherever they stand.
+                    out[np.array(own) + first] += np.add.reduceat(value + np.append(pair, 0.0), ends - length) / (2 * length - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-out)))], ["k", "score"])
 
     some = docs.select(F.col(key).alias("k"), F.col(text).alias("__quality_text"))
@@ -188,6 +210,11 @@ def held_out(key: str = "doc_id"):
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; labels of the held-out fold are not read for training."""
+    """doc_id, held_out, score, predicted of every document; labels of the held-out fold are not read for training.
+
+    Null and empty texts have no features and score by the bias; a null id is in no fold; repeated rows give repeated rows,
+    an empty table none; a text of any length is averaged whole; further columns are not read. Without labels, or with
+    labels of one kind, every score is that of the kind.
+    """
     weights, bias = fit(docs, labels.where(~held_out()))
     return score(docs, weights, bias).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

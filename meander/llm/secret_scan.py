@@ -113,7 +113,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
             elif kind == 4:  # headers, with or without the name
                 text, left = pick(full + "_-", rng.integers(20, 60)), left + one("Authorization: Bearer ", "bearer ", "Authorization: Basic ", "-H 'X-Api-Key: ", "Bearer ")
             else:  # assigned random tokens
-                text = one(pick(hexes, one(32, 40, 64)), pick(hexes, 40), pick(hexes, 40).upper(), pick(full, rng.integers(16, 64)), pick(full + "+/", 43) + "=", pick(full + "_-", rng.integers(24, 48)), pick(full[:52], rng.integers(20, 40)))
+                text = one(pick(hexes, one(32, 40, 64)), pick(hexes, rng.integers(10, 65)), pick(hexes, 40).upper(), pick(full, rng.integers(16, 64)), pick(full + "+/", 43) + "=", pick(full + "_-", rng.integers(24, 48)), pick(full[:52], rng.integers(20, 40)))
                 left += one(name(), word() + "_" + name()) + one(sign, sign, " ", " is ")
         else:
             kind = rng.integers(10)

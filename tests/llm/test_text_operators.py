@@ -253,7 +253,8 @@ def test_perplexity_rejects_noise(spark):
 
 def test_features_are_hashes_of_the_grams():
     words = ["abc".encode(), b"a", "é".encode(), b"abc"]
-    found, count = quality_classifier.features(words)
+    found, count, numbers = quality_classifier.features(words)
+    assert numbers[0] == numbers[3] and len(set(numbers.tolist())) == 3
     at = np.cumsum(count) - count
     assert count.tolist() == [1 + 3 + 2 + 1, 1 + 1, 1 + 2 + 1, 7]
     assert found[at[0] : at[0] + 7].tolist() == found[at[3] : at[3] + 7].tolist()
