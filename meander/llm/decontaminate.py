@@ -12,6 +12,7 @@ a further pass over the same rows, which adds its hits to those found before.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,7 +37,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences."""
+    """Generalised suffix automaton of word sequences.
+
+    It grows in dictionaries, a block at a time, and is kept in flat arrays: transitions sorted by (state, word), the link and
+    length of each state, and the windows that end at a state, sorted by state. What is sent to tasks are these arrays.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
@@ -53,11 +58,13 @@ class Automaton:
             for c in ids:
                 last = self._extend(last, c)
         self.least = min((min(len(ids), window) for _, ids in sequences if ids), default=window)
-        n = len(self.vocabulary)
+        n = self.n = len(self.vocabulary)
         self.pairs = np.array(sorted(a * n + b for a, b in pairs), np.int64)
-        #: Of the states that hold a window: its length and the items with it. A state holds runs of several lengths,
-        #: and only one of them can be a long window; whole short items may be several.
-        self.windows: dict[int, dict[int, set[str]]] = {}
+        self.names = sorted({name for name, _ in sequences})
+        of = {name: i for i, name in enumerate(self.names)}
+        # Of the states that hold a window: its length and the item. A state holds runs of several lengths, and only one of
+        # them can be a long window; whole short items may be several.
+        windows = array("q")
         for name, ids in sequences:
             need = min(window, len(ids))
             state = run = 0
@@ -67,7 +74,29 @@ class Automaton:
                     at = state
                     while self.length[self.link[at]] >= need:
                         at = self.link[at]
-                    self.windows.setdefault(at, {}).setdefault(need, set()).add(name)
+                    windows.extend((at, need, of[name]))
+        found = np.unique(np.frombuffer(windows, np.int64).reshape(-1, 3), axis=0) if windows else np.zeros((0, 3), np.int64)
+        self.at_state, self.need, self.item = (found[:, k].astype(np.int32) for k in range(3))
+        self._freeze()
+
+    def _freeze(self) -> None:
+        size = sum(map(len, self.step))
+        keys, targets = np.empty(size, np.int64), np.empty(size, np.int32)
+        at = 0
+        for state, out in enumerate(self.step):
+            if out:
+                for c in sorted(out):
+                    keys[at], targets[at] = state * self.n + c, out[c]
+                    at += 1
+        self.keys, self.targets = keys, targets
+        self.link, self.length = np.array(self.link, np.int32), np.array(self.length, np.int32)
+        del self.step
+
+    def next(self, state: int, c: int) -> int:
+        """The state after `state` and a word, or -1."""
+        key = state * self.n + c
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.targets[at]) if at < len(self.keys) and self.keys[at] == key else -1
 
     def _extend(self, last: int, c: int) -> int:
         step, link, length = self.step, self.link, self.length
@@ -101,7 +130,7 @@ class Automaton:
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans [from, to) that windows cover, one for each window met, and the items of these windows."""
-        n = len(self.vocabulary)
+        n = self.n
         if not n or not words:
             return [], set()
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
@@ -134,23 +163,25 @@ class Automaton:
         return spans, items
 
     def _walk(self, ids: list[int], offset: int, spans: list, items: set) -> None:
-        step, link, length, windows = self.step, self.link, self.length, self.windows
+        link, length = self.link, self.length
         state = run = 0
         for i, c in enumerate(ids):
-            while state and c not in step[state]:
-                state = link[state]
-                run = length[state]
-            if c in step[state]:
-                state, run = step[state][c], run + 1
+            after = self.next(state, c)
+            while after < 0 and state:
+                state = int(link[state])
+                run = int(length[state])
+                after = self.next(state, c)
+            if after >= 0:
+                state, run = after, run + 1
             if run < self.least:
                 continue
             at = state
             while at > 0:
-                for need, names in windows.get(at, {}).items():
-                    if need <= run:
-                        spans.append((offset + i + 1 - need, offset + i + 1))
-                        items |= names
-                at = link[at]
+                for k in range(*np.searchsorted(self.at_state, (at, at + 1)).tolist()):
+                    if self.need[k] <= run:
+                        spans.append((offset + i + 1 - int(self.need[k]), offset + i + 1))
+                        items.add(self.names[self.item[k]])
+                at = int(link[at])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
