@@ -18,6 +18,8 @@ HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 MASK = 0xFFFFFFFF
 #: Groups in which slots are counted within each shard; each takes its part of a shard's rows.
 SLOT_GROUPS = 4096
+#: Slots of repeats of one row that are written out at a time.
+SLOT_RUN = 10_000
 
 
 def _next(high: Column, low: Column) -> tuple[Column, Column]:
@@ -75,7 +77,10 @@ def slots(sharded: DataFrame, by: list[str], group: Column, shard: str = "shard"
     ranked = counted.withColumn("__before", F.coalesce(F.sum("__times").over(inside), F.lit(0)))
     placed = ranked.join(first, [shard, "__group"])
     start = F.col("__first") + F.col("__before")
-    return placed.select(*names, F.explode(F.sequence(start, start + F.col("__times") - 1)).alias("slot"))
+    last = start + F.col("__times") - 1
+    # A row that is repeated very often is dealt again in runs of SLOT_RUN: no array is long, and no task has it alone.
+    runs = placed.select(*names, last.alias("__last"), F.explode(F.sequence(start, last, F.lit(SLOT_RUN).cast("long"))).alias("__from")).repartition(shard, "__from")
+    return runs.select(*names, F.explode(F.sequence("__from", F.least("__last", F.col("__from") + (SLOT_RUN - 1)))).alias("slot"))
 
 
 #: Fixed value: the multiplier of multiplicative hashing, 2**32 over the golden ratio.
