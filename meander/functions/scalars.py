@@ -38,7 +38,7 @@ def pair(v: Column, label: Column) -> Column:
     return F.struct(v.alias("v"), label.alias("label"))
 
 
-def label_of(prefix: str, *columns: Column) -> Column:
+def label_of(prefix: str, *columns: Column | str) -> Column:
     """Lower-case text label of columns."""
     return F.lower(F.format_string(prefix + "_%s" * len(columns), *columns))
 

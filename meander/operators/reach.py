@@ -1,12 +1,56 @@
-"""Reachability by semi-naive rounds: only what a round has found is expanded in the next."""
+"""Reachability as fixpoints: a step is one join of a state with the edges and one aggregation by their other ends."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import stash, stash_and
+from ..storage import forget, stash, stash_observed
+
+#: Steps that one job takes before the state is written. The edges are shuffled once a job.
+STEPS_A_TABLE = 4
+
+
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], value: str, name: str, most_steps: int | None = None) -> DataFrame:
+    """The state after steps that change it no more, or after `most_steps`.
+
+    A step may only add rows or lower `value`, so a state with as many rows and the same sum as before is the same. Every
+    few steps the state is written in place of the one before, which is deleted: the lineage is that of a few steps, and
+    the disk holds two states at a time.
+    """
+    found = {"rows": F.count(F.lit(1)), "sum": F.sum(F.col(value).cast("decimal(38,0)"))}
+    state, seen, path = stash_observed(state, name, found)
+    done = 0
+    while most_steps is None or done < most_steps:
+        steps = STEPS_A_TABLE if most_steps is None else min(STEPS_A_TABLE, most_steps - done)
+        after = state
+        for _ in range(steps):
+            after = step(after)
+        after, now, new_path = stash_observed(after, name, found)
+        forget(state.sparkSession, path)
+        state, path, done = after, new_path, done + steps
+        if now == seen:
+            break
+        seen = now
+    return state
+
+
+def looped(vertices: DataFrame, edges: DataFrame, cost: int = 1) -> DataFrame:
+    """(src, dst, cost), written: the edges, and every vertex to itself for nothing, so that a step keeps what it has."""
+    own = vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("cost"))
+    return stash(edges.select("src", "dst", F.lit(cost).cast("long").alias("cost")).unionByName(own), "looped")
+
+
+def least(edges: DataFrame, start: DataFrame, value: str, most_steps: int | None = None) -> DataFrame:
+    """(v, value): the least of value and costs over all paths from the rows of `start` (v, value). edges: looped() ones."""
+
+    def step(state: DataFrame) -> DataFrame:
+        return state.join(edges, state["v"] == edges["src"]).groupBy(F.col("dst").alias("v")).agg(F.min(F.col(value) + F.col("cost")).alias(value))
+
+    return fixpoint(start, step, value, value, most_steps)
 
 
 def bfs(graph: Graph, sources: DataFrame, allowed: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
@@ -14,31 +58,24 @@ def bfs(graph: Graph, sources: DataFrame, allowed: DataFrame | None = None, most
 
     allowed: the vertices to go through; sources outside are no sources.
     """
-    edges = graph.edges if allowed is None else stash(graph.subgraph(allowed).edges, "edges")
+    within = graph if allowed is None else graph.subgraph(allowed)
     start = sources.select("v").distinct()
-    frontier = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
-    frontier, new = stash_and(frontier.select("v", F.lit(0).cast("long").alias("depth")), "frontier")
-    seen, depth = frontier, 0
-    while new and (most_rounds is None or depth < most_rounds):
-        depth += 1
-        step = edges.join(frontier.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
-        frontier, new = stash_and(step.join(seen.select("v"), "v", "left_anti").select("v", F.lit(depth).cast("long").alias("depth")), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
+    start = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
+    ends = within.vertices.select("v").unionByName(start).distinct()  # a source may be no vertex
+    return least(looped(ends, within.edges), start.select("v", F.lit(0).cast("long").alias("depth")), "depth", most_rounds)
 
 
 def multi_reach(graph: Graph, centres: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(v, label), distinct: all pairs of a vertex and a centre (v) that reaches it. For small sets of centres."""
-    edges = graph.edges if allowed is None else stash(graph.subgraph(allowed).edges, "edges")
+    """(v, label), distinct: all pairs of a vertex and a centre (v) that reaches it. As many rows as there are pairs: for small sets of centres."""
+    within = graph if allowed is None else graph.subgraph(allowed)
     start = centres.select("v").distinct()
     start = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
-    frontier, new = stash_and(start.select("v", F.col("v").alias("label")), "frontier")
-    seen = frontier
-    while new:
-        step = edges.join(frontier.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "label").distinct()
-        frontier, new = stash_and(step.join(seen, ["v", "label"], "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
+    edges = looped(within.vertices.select("v").unionByName(start).distinct(), within.edges)
+
+    def step(state: DataFrame) -> DataFrame:
+        return state.join(edges, state["v"] == edges["src"]).select(F.col("dst").alias("v"), "label").distinct()
+
+    return fixpoint(start.select("v", F.col("v").alias("label")), step, "label", "pairs")
 
 
 def both_ways(forward: DataFrame, backward: DataFrame) -> DataFrame:
@@ -47,12 +84,23 @@ def both_ways(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def least_ancestor(graph: Graph) -> DataFrame:
-    """(v, colour): the smallest vertex that reaches v, itself included. Only vertices whose colour fell send it on."""
-    colours = stash(graph.vertices.select("v", F.col("v").alias("colour")), "colours")
-    changed, fell = colours, 1
-    while fell:
-        sent = graph.edges.join(changed.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("colour").alias("sent"))
-        both = colours.join(sent, "v", "left").select("v", F.least("colour", "sent").alias("colour"), (F.col("sent") < F.col("colour")).alias("fell"))
-        both, fell = stash_and(both, "colours", F.coalesce("fell", F.lit(False)))
-        colours, changed = both.select("v", "colour"), both.where("fell").select("v", "colour")
-    return colours
+    """(v, colour): the smallest vertex that reaches v, itself included."""
+    return least(looped(graph.vertices, graph.edges, 0), graph.vertices.select("v", F.col("v").alias("colour")), "colour")
+
+
+def least_centres(graph: Graph, centres: DataFrame) -> DataFrame:
+    """(v, down, up): the least rank of the centres (v, rank) that reach v, and of those that v reaches; null for none.
+
+    Both searches are one fixpoint with two numbers a vertex at most, however many centres there are.
+    """
+    both = graph.edges.select("src", "dst", F.lit(0).alias("way")).unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("way")))
+    ways = F.explode(F.array(F.lit(0), F.lit(1))).alias("way")
+    edges = stash(both.unionByName(graph.vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), ways)), "both-ways")
+
+    def step(state: DataFrame) -> DataFrame:
+        joined = state.withColumnRenamed("v", "src").join(edges, ["src", "way"])
+        return joined.groupBy(F.col("dst").alias("v"), "way").agg(F.min("rank").alias("rank"))
+
+    found = fixpoint(centres.select("v", "rank", ways), step, "rank", "ranks")
+    of = lambda way: F.min(F.when(F.col("way") == way, F.col("rank")))
+    return found.groupBy("v").agg(of(0).alias("down"), of(1).alias("up"))

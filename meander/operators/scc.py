@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph, pivot
 from ..storage import stash
 from . import local
-from .reach import bfs, both_ways, least_ancestor, multi_reach
+from .reach import bfs, least_ancestor, least_centres
 from .trim import trim
 
 #: Edges that one task may take: at some 100 bytes an edge in its arrays, about 400 MB.
@@ -28,6 +28,8 @@ LOCAL_EDGES = 4_000_000
 #: Waves of peeling before a method goes on; the rest of a long chain is found by its later steps.
 WAVES = 3
 BETA, SEED, TAU = 1.1, 12345, 1024
+#: Growth of batches in the distributed methods: a batch costs its rounds, not its centres.
+GROWTH = 8.0
 PHASES = ("trimming", "forward_reach", "backward_reach", "reachability", "labeling", "hash_bag", "big_scc", "others", "total")
 
 
@@ -88,41 +90,51 @@ def _peel(graph: Graph, clock: Clock, waves: int | None) -> tuple[Graph, DataFra
 
 
 def big_scc(graph: Graph, within: DataFrame | None = None) -> DataFrame:
-    """(v, scc): the component of the vertex of the largest degree, of those in `within`."""
-    centre = stash(pivot(graph, within).select("v"), "pivot")
-    down, up = bfs(graph, centre, within), bfs(graph.transpose(), centre, within)
-    members = down.select("v").join(up.select("v"), "v", "left_semi")
-    return canonical(members.withColumn("label", F.lit(0)))
+    """(v, scc): the component of the vertex of the largest degree, of those in `within`; one search goes both ways."""
+    centre = stash(pivot(graph, within).select("v", F.lit(0).cast("long").alias("rank")), "pivot")
+    searched = graph if within is None else graph.subgraph(within)
+    members = least_centres(searched, centre).where("down = up").select("v", F.lit(0).alias("label"))
+    return canonical(members)
 
 
 def _in_batches(graph: Graph, clock: Clock, beta: float) -> DataFrame:
-    """(v, scc) of all vertices by batches of centres. A vertex that several centres of a batch share takes the smallest."""
+    """(v, scc) of all vertices by batches of centres.
+
+    In a batch each vertex takes the least centre that reaches it and the least that it reaches. Where these are one, the
+    vertex is in that centre's component. Two vertices with different pairs of numbers are in different components, so edges
+    between them go, and centres that were not found stay centres of the batches to come. A vertex has two numbers,
+    however many centres a batch has.
+    """
     rest = Graph(stash(graph.vertices, "vertices"), stash(graph.edges, "edges"))
     order = stash(permuted(rest.vertices), "order")
     found = graph.vertices.limit(0).select("v", F.col("v").alias("label"))
-    left = n = rest.vertices.count()
-    for low, high in batches(n, beta):
-        if not left:
+    n = rest.vertices.count()
+    sizes = [high for _, high in batches(n, beta)]
+    while sizes or not rest.edges.isEmpty():
+        high = sizes.pop(0) if sizes else n
+        if rest.edges.isEmpty():
             break
-        centres = order.where((F.col("pos") >= low) & (F.col("pos") < high)).join(rest.vertices, "v", "left_semi").select("v")
+        centres = order.where(F.col("pos") < high).join(rest.vertices, "v", "left_semi").select("v", F.col("pos").alias("rank"))
         if centres.isEmpty():
             continue
-        forward, backward = clock.run("reachability", lambda: (multi_reach(rest, centres), multi_reach(rest.transpose(), centres)))  # noqa: B023
+        ranks = clock.run("reachability", lambda: least_centres(rest, centres))  # noqa: B023
 
         def label() -> DataFrame:
-            return stash(both_ways(forward, backward).groupBy("v").agg(F.min("label").alias("label")), "labels")  # noqa: B023
+            named = rest.vertices.join(ranks, "v", "left")  # noqa: B023
+            return stash(named.select("v", F.coalesce("down", F.lit(-1)).alias("down"), F.coalesce("up", F.lit(-2)).alias("up")), "labels")
 
-        new = clock.run("labeling", label)
-        found = found.unionByName(new)
-        kept = stash(rest.vertices.join(new, "v", "left_anti"), "vertices")
-        rest = Graph(kept, stash(rest.subgraph(kept).edges, "edges"))
-        left = kept.count()
-    if left:
-        raise RuntimeError("vertices are left after all centres")
-    return canonical(found)
+        named = clock.run("labeling", label)
+        found = found.unionByName(named.where("down = up").select("v", F.col("down").alias("label")))
+        left = named.where("down <> up")
+        source, target = (left.select(F.col("v").alias(end), F.col("down").alias(f"down_{end}"), F.col("up").alias(f"up_{end}")) for end in ("src", "dst"))
+        same = rest.edges.join(source, "src").join(target, "dst").where("down_src = down_dst AND up_src = up_dst").select("src", "dst")
+        rest = Graph(left.select("v"), stash(same, "edges"))
+    # Without edges each vertex that is left is a component. Ranks are from 0, and vertices are told apart from them by sign.
+    alone = rest.vertices.select("v", (-F.col("v") - 1).alias("label"))
+    return canonical(found.unionByName(alone))
 
 
-def bgss(graph: Graph, clock: Clock | None = None, beta: float = BETA, waves: int | None = None) -> DataFrame:
+def bgss(graph: Graph, clock: Clock | None = None, beta: float = GROWTH, waves: int | None = None) -> DataFrame:
     clock = clock or Clock()
     simple = Graph(graph.vertices, stash(graph.simple().edges, "edges"))
     rest, gone = _peel(simple, clock, waves)
@@ -134,7 +146,7 @@ def bgss(graph: Graph, clock: Clock | None = None, beta: float = BETA, waves: in
     return gone.unionByName(giant).unionByName(others)
 
 
-def multi(graph: Graph, clock: Clock | None = None, beta: float = BETA, waves: int | None = None) -> DataFrame:
+def multi(graph: Graph, clock: Clock | None = None, beta: float = GROWTH, waves: int | None = None) -> DataFrame:
     clock = clock or Clock()
     rest, gone = _peel(Graph(graph.vertices, stash(graph.simple().edges, "edges")), clock, waves)
     return gone.unionByName(_in_batches(rest, clock, beta))

@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import stash, stash_and
+from ..storage import stash
+from .reach import fixpoint
+
+#: The wave of a vertex that no wave peels.
+NEVER = 1 << 40
 
 
 def trim(graph: Graph, most_waves: int | None = None) -> tuple[Graph, DataFrame]:
     """What is left, and (v, wave) of what was peeled, from wave 1. A self-loop is an edge in and out of its vertex.
 
-    Stops when a wave peels nothing, or after `most_waves`.
+    A vertex goes one wave after the last of its neighbours in has gone, or the last of those out, whichever is first; with
+    none on a side it goes in the first. So a step joins waves with the edges of both ways, and the edges themselves are
+    written once at the end, not by wave.
     """
-    vertices, edges = graph.vertices, stash(graph.edges, "edges")
-    peeled: DataFrame = vertices.limit(0).select("v", F.lit(0).cast("long").alias("wave"))
-    wave = 0
-    while most_waves is None or wave < most_waves:
-        wave += 1
-        ends = edges.select(F.col("src").alias("v")).distinct().join(edges.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
-        marked, some = stash_and(vertices.join(ends.withColumn("stays", F.lit(True)), "v", "left"), "wave", F.col("stays").isNull())
-        if not some:
-            break
-        gone = marked.where("stays IS NULL").select("v", F.lit(wave).cast("long").alias("wave"))
-        peeled = peeled.unionByName(gone)
-        vertices = marked.where("stays").select("v")
-        edges = stash(Graph(vertices, edges).subgraph(vertices).edges, "edges")
-    return Graph(vertices, edges), peeled
+    ends = graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0).alias("way")).unionByName(graph.edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(1).alias("way")))
+    sides = stash(ends.unionByName(graph.vertices.select(F.col("v").alias("u"), "v", F.lit(2).alias("way"))), "sides")
+
+    def step(state: DataFrame) -> DataFrame:
+        joined = state.withColumnRenamed("v", "u").join(sides, "u")
+        last = [F.coalesce(F.max(F.when(F.col("way") == way, F.col("wave"))), F.lit(0)) for way in (0, 1)]
+        return joined.groupBy("v").agg(F.least(F.lit(NEVER), F.least(*last) + 1).alias("wave"))
+
+    waves = fixpoint(graph.vertices.select("v", F.lit(NEVER).cast("long").alias("wave")), step, "wave", "waves", most_waves)
+    kept = waves.where(F.col("wave") == NEVER).select("v")
+    rest = graph.subgraph(kept)
+    return Graph(rest.vertices, stash(rest.edges, "edges")), waves.where(F.col("wave") < NEVER)

@@ -12,7 +12,7 @@ from ..functions.scalars import efficiency, speedup, throughput, yes_no
 from ..graph import Graph
 from ..operators import partition
 from ..operators.scc import PHASES, Clock, scc
-from ..sources.text import exists, graph_name
+from ..sources.text import BenchmarkConfig, Parameters, exists, graph_name
 from ..storage import stash
 
 
@@ -104,11 +104,26 @@ def needs_log_scale(results: DataFrame) -> DataFrame:
 NAMES = {"Tarjan": "tarjan", "BGSS-BigSCC": "bgss", "BGSS-MultiSearch": "multi", "VGC": "vgc", "Colouring": "colouring", "Hybrid": "hybrid"}
 
 
-def measure(graph: Graph, name: str, algorithms: tuple[str, ...] = ("Tarjan", "Hybrid"), iterations: int = 1, tau: int = 1024, against: str = "Tarjan") -> DataFrame:
+def measure(graph: Graph, name: str, algorithms: tuple[str, ...] = ("Tarjan", "Hybrid"), iterations: int = 1, tau: int = 1024, against: str = "Tarjan", threads: int | None = None) -> DataFrame:
     """Runs of algorithms on a graph as result rows, with the median time of `iterations`; `correct` compares whole partitions.
 
-    Threads is the session's parallelism. A time ends when the labelling has been written.
+    threads: the number of shuffle partitions of the runs, as so many tasks of a shuffle run at once at most; the session's
+    own number else. A time ends when the labelling has been written.
     """
+    spark = graph.vertices.sparkSession
+    own = spark.conf.get(PARTITIONS)
+    if threads is not None:
+        spark.conf.set(PARTITIONS, str(threads))
+    try:
+        return _measured(graph, name, algorithms, iterations, tau, against, int(spark.conf.get(PARTITIONS)))
+    finally:
+        spark.conf.set(PARTITIONS, own)
+
+
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def _measured(graph: Graph, name: str, algorithms: tuple[str, ...], iterations: int, tau: int, against: str, threads: int) -> DataFrame:
     spark = graph.vertices.sparkSession
     nodes, edges = graph.vertices.count(), graph.edges.count()
     rows, labels = [], {}
@@ -123,7 +138,7 @@ def measure(graph: Graph, name: str, algorithms: tuple[str, ...] = ("Tarjan", "H
         ms, clock = sorted(times, key=lambda t: t[0])[len(times) // 2]
         one = partition.summary(labels[algorithm]).first()
         same = partition.compare(labels[algorithm], labels[against]).first()["equal"] if against in labels else None
-        rows.append((ordinal, algorithm, name, nodes, edges, spark.sparkContext.defaultParallelism, tau, ms, one["num_sccs"], one["max_scc_size"], clock.trimmed, same, tuple(clock.ms[p] for p in PHASES)))
+        rows.append((ordinal, algorithm, name, nodes, edges, threads, tau, ms, one["num_sccs"], one["max_scc_size"], clock.trimmed, same, tuple(clock.ms[p] for p in PHASES)))
     kind = "ordinal int, algorithm string, graph string, nodes long, edges long, threads int, tau int, time_ms double, num_sccs long, max_scc_size long, trim_count long, correct boolean, breakdown struct<" + ", ".join(f"{p}: double" for p in PHASES) + ">"
     return with_throughput(spark.createDataFrame(rows, kind))
 
@@ -135,6 +150,34 @@ def run_all(spark: SparkSession, paths: list[str], load, **options) -> tuple[Dat
     return (reduce(DataFrame.unionByName, tables) if tables else None), missing
 
 
+def run_configured(spark: SparkSession, config: BenchmarkConfig, parameters: Parameters, load, algorithms: tuple[str, ...] = ("Tarjan", "VGC")) -> tuple[DataFrame | None, list[str]]:
+    """run_all() on the graphs of a configuration, for each of its numbers of threads and each tau, and the paths that are not there.
+
+    Where the configuration has no threads or no tau, and for the number of iterations, those of the parameters are taken.
+    Only VGC has a tau: other algorithms run once a number of threads.
+    """
+    rest = tuple(a for a in algorithms if a != "VGC")
+    parts, missing = [], []
+    for threads in config.thread_counts or [parameters.default_threads]:
+        for k, tau in enumerate(config.tau_values or [parameters.default_tau]):
+            own = algorithms if not k else tuple(a for a in algorithms if a not in rest or a == "Tarjan")
+            table, missing = run_all(spark, config.graphs, load, algorithms=own, iterations=parameters.iterations, tau=tau, threads=threads)
+            if table is not None:
+                parts.append(table if not k else table.where(F.col("algorithm") == "VGC"))
+    return (reduce(DataFrame.unionByName, parts) if parts else None), missing
+
+
+def distinct_values(results: DataFrame, by: str, column: str) -> DataFrame:
+    """(by, values): the distinct values of a column in order, by another. One row a group: for columns of few values."""
+    return results.groupBy(by).agg(F.array_sort(F.collect_set(column)).alias("values"))
+
+
+def phase_sums(table: DataFrame, phases: tuple[str, ...]) -> DataFrame:
+    """(algorithm, graph, phase, ms): milliseconds of each phase over all runs; a phase that was never timed has 0."""
+    long = table.unpivot(["algorithm", "graph"], list(phases), "phase", "ms")
+    return long.groupBy("algorithm", "graph", "phase").agg(F.coalesce(F.sum("ms"), F.lit(0.0)).alias("ms"))
+
+
 def results_table(results: DataFrame) -> DataFrame:
     """The flat result columns, `correct` as YES or NO."""
     return results.withColumn("correct", yes_no(F.col("correct"))).select("algorithm", "graph", "nodes", "edges", "threads", "tau", "time_ms", "num_sccs", "max_scc_size", "throughput", "trim_count", "correct")

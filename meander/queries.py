@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graph as g
+from .functions import scalars
 from .graph import Graph
 from .operators import partition
 from .operators.reach import bfs, both_ways, multi_reach
@@ -186,10 +188,14 @@ def trim_waves_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- components
-for _method, _names in {"tarjan": "ACD", "hybrid": "ACD", "colouring": "AD", "bgss": "D", "multi": "D", "vgc": "AD"}.items():
-    for _name in _names:
+for _method in ("tarjan", "hybrid", "colouring", "bgss", "multi", "vgc"):
+    for _name in "ACD":
         query(with_graph(_name, f", {SCC} SELECT * FROM scc"), f"scc_{_method}_{_name.lower()}")(lambda s, d, n=_name, m=_method: scc(derived(s, d, n), m))
 
+# The methods that go to one task for small graphs, without that.
+for _method, _option in {"hybrid": {"local_edges": 0}, "vgc": {"tau": 1}}.items():
+    query(with_graph("C", f", {SCC} SELECT * FROM scc"), f"scc_{_method}_c_distributed")(lambda s, d, m=_method, o=_option: scc(derived(s, d, "C"), m, **o))
+
 for _name in ("A", "C"):
     query(with_graph(_name, f", {SCC}, {PIVOT} SELECT * FROM scc WHERE scc = (SELECT scc FROM scc JOIN top USING (v))"), f"giant_scc_{_name.lower()}")(lambda s, d, n=_name: big_scc(derived(s, d, n)))
     query(with_graph(_name, f", {SCC}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY 1) SELECT count(*) AS num_sccs, max(size) AS max_scc_size, count(*) FILTER (size = 1) AS singletons FROM z"), f"scc_summary_{_name.lower()}")(lambda s, d, n=_name: partition.summary(scc(derived(s, d, n))))
@@ -200,11 +206,34 @@ for _name in ("A", "C"):
     query(with_graph(_name, f", {SCC} SELECT count(DISTINCT scc) AS num_sccs FROM scc"), f"scc_count_{_name.lower()}")(lambda s, d, n=_name: partition.count_classes(scc(derived(s, d, n))))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS different, true AS equal")
+#: Labels of components but for every eleventh vertex, which has none, against tens of ids.
+COMPARED = """x AS (SELECT v, CASE WHEN v % 11 <> 3 THEN scc END AS scc FROM scc), a AS (SELECT v, min(v) OVER (PARTITION BY scc) AS ra FROM x WHERE scc IS NOT NULL),
+  b AS (SELECT v, min(v) OVER (PARTITION BY v // 10) AS rb FROM v WHERE v % 7 <> 2), j AS (SELECT ra, rb FROM a FULL JOIN b USING (v)),
+  k AS (SELECT count(*) FILTER (rb IS NULL) AS only_a, count(*) FILTER (ra IS NULL) AS only_b, count(*) FILTER (ra <> rb) AS different FROM j)"""
+
+
+@query(with_graph("C", f", {SCC}, {COMPARED} SELECT *, only_a + only_b + different = 0 AS equal FROM k"))
+def partitions_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labellings that differ, each without some vertices."""
+    graph = derived(spark, sf_dir, "C")
+    some = scc(graph).select("v", F.when(F.col("v") % 11 != 3, F.col("scc")).alias("scc"))
+    tens = graph.vertices.where("v % 7 <> 2").select("v", F.floor(F.col("v") / 10).alias("scc"))
+    return partition.compare(some, tens)
+
+
+@query(with_graph("C", f", {SCC}, {COMPARED} SELECT v, CAST(dense_rank() OVER (ORDER BY ra) - 1 AS BIGINT) AS label FROM a"))
+def normalised_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices without a label are left out."""
+    return partition.normalise(scc(derived(spark, sf_dir, "C")).select("v", F.when(F.col("v") % 11 != 3, F.col("scc")).alias("scc")))
+
+
+@query(with_graph("A", f", {SCC}, z AS (SELECT count(DISTINCT scc) AS n, count(*) AS all_v FROM scc) SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS different, true AS equal, n AS num_sccs, all_v AS vertices FROM z"))
 def partitions_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two methods give one partition, under labels of their own."""
+    """Two methods give one partition, under labels of their own; beside, how many classes and vertices there are."""
     graph = derived(spark, sf_dir, "A")
-    return partition.compare(scc(graph, "colouring"), partition.normalise(scc(graph, "tarjan")).withColumnRenamed("label", "scc"))
+    a, b = stash(scc(graph, "colouring"), "labels"), partition.normalise(scc(graph, "tarjan")).withColumnRenamed("label", "scc")
+    sizes = b.agg(F.countDistinct("scc").alias("num_sccs"), F.count("*").alias("vertices"))  # one row each
+    return partition.compare(a, b).join(sizes, how="cross")
 
 
 @query("SELECT v, v - v % 5 AS scc FROM (SELECT unnest(range(500)) AS v)")
@@ -224,17 +253,37 @@ def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kout_sql(n: int, k: int) -> str:
-    steps = generators.jump_ahead(3 * k)
-    rows = ", ".join("(" + ", ".join(f"{a}, {c}" for a, c in steps[3 * j + 1 : 3 * j + 4]) + ")" for j in range(k))
-    s = lambda t: f"((a{t} * i + c{t}) & 4294967295) >> 16"
-    return f"""SELECT i AS src, xor(xor(({s(0)} & 2047) << 10, {s(1)} & 1023) << 10, {s(2)} & 1023) % {n} AS dst
-FROM (SELECT unnest(range({n})) AS i), (VALUES {rows}) t(a0, c0, a1, c1, a2, c2)"""
+    """The edges by walking the generator step by step from each vertex's seed."""
+    bits = lambda t, mask: f"((max(seed) FILTER (t = 3 * j + {t}) >> 16) & {mask})"
+    return f"""steps(i, t, seed) AS (SELECT i, CAST(0 AS BIGINT), i FROM (SELECT unnest(range({n})) AS i)
+  UNION ALL SELECT i, t + 1, (seed * 1103515245 + 12345) & 4294967295 FROM steps WHERE t < {3 * k}),
+e AS MATERIALIZED (SELECT i AS src, xor(xor({bits(1, 2047)} << 10, {bits(2, 1023)}) << 10, {bits(3, 1023)}) % {n} AS dst
+  FROM steps, (SELECT unnest(range({k})) AS j) WHERE t > 3 * j AND t <= 3 * j + 3 GROUP BY i, j)"""
+
+
+def _kout_summary_sql(n: int, k: int) -> str:
+    """Sizes of components: that of the vertex of most edges in by two searches, the others by the closure of what is left."""
+    return f"""WITH RECURSIVE {_kout_sql(n, k)}, top AS (SELECT dst AS v FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+f(v) AS (SELECT v FROM top UNION SELECT e.dst FROM f JOIN e ON f.v = e.src), b(v) AS (SELECT v FROM top UNION SELECT e.src FROM b JOIN e ON b.v = e.dst),
+m AS MATERIALIZED (SELECT v FROM f INTERSECT SELECT v FROM b), l AS MATERIALIZED (SELECT unnest(range({n})) AS v EXCEPT SELECT v FROM m),
+r(s, d) AS (SELECT v, v FROM l UNION SELECT r.s, e.dst FROM r JOIN e ON r.d = e.src SEMI JOIN l ON l.v = e.dst),
+z AS (SELECT min(a.d) AS scc FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY a.s), y AS (SELECT count(*) AS size FROM z GROUP BY scc UNION ALL SELECT count(*) FROM m)
+SELECT count(*) AS num_sccs, max(size) AS max_scc_size, count(*) FILTER (size = 1) AS singletons FROM y"""
+
 
+query(f"WITH RECURSIVE {_kout_sql(1000, 5)} SELECT src, dst FROM e", "kout_edges")(lambda s, d: generators.kout(s, 1000, 5).edges)
+query(_kout_summary_sql(1000, 5), "scc_kout_1k")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_1k"), "colouring")))
+query(_kout_summary_sql(10_000, 10), "scc_kout_10k")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_10k"))))
+query(_kout_summary_sql(10_000, 10), "scc_kout_10k_distributed")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_10k"), local_edges=0)))
+query(_kout_summary_sql(100_000, 10), "scc_kout_100k")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_100k"))))
 
-query(_kout_sql(1000, 5), "kout_edges")(lambda s, d: generators.kout(s, 1000, 5).edges)
-query("SELECT CAST(7 AS BIGINT) AS num_sccs, CAST(994 AS BIGINT) AS max_scc_size, CAST(6 AS BIGINT) AS singletons", "scc_kout_1k")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_1k"), "colouring")))
-query("SELECT CAST(2 AS BIGINT) AS num_sccs, CAST(9999 AS BIGINT) AS max_scc_size, CAST(1 AS BIGINT) AS singletons", "scc_kout_10k")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_10k"))))
-query("SELECT CAST(4 AS BIGINT) AS num_sccs, CAST(99997 AS BIGINT) AS max_scc_size, CAST(3 AS BIGINT) AS singletons", "scc_kout_100k")(lambda s, d: partition.summary(scc(generators.standard(s, "graph_100k"), local_edges=2_000_000)))
+
+@query("SELECT 'graph_1k' AS name, CAST(1000 AS BIGINT) AS n_vertices, CAST(1000 * 5 AS BIGINT) AS n_edges UNION ALL SELECT 'lattice_10k', 100 * 100, 2 * 100 * 99")
+def build_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard graphs written and read again."""
+    paths = generators.build(spark, new_folder(spark, "graphs"), ["graph_1k", "lattice_10k"])
+    of = lambda name, x: x.vertices.agg(F.count("*").alias("n_vertices")).join(x.edges.agg(F.count("*").alias("n_edges")), how="cross").select(F.lit(name).alias("name"), "n_vertices", "n_edges")
+    return reduce(DataFrame.unionByName, [of(name, generators.load(spark, path)) for name, path in sorted(paths.items())])
 
 
 @query("WITH RECURSIVE b(low, step) AS (SELECT 0, 1 UNION ALL SELECT low + step, CAST(floor(step * 1.1) AS BIGINT) + 1 FROM b WHERE low + step < 1000) SELECT CAST(low AS BIGINT) AS low, CAST(least(low + step, 1000) AS BIGINT) AS high FROM b")
@@ -271,7 +320,112 @@ def tau_analysis_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(text.read_csv(spark, path, text.TAU_ANALYSIS), "time_ms")
 
 
+def _written(spark: SparkSession, name: str, lines: list[str]) -> str:
+    """The path of a text of these lines, in one file."""
+    path = new_folder(spark, name)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT 'tau' AS option, CAST(unnest([64, 1024]) AS BIGINT) AS value UNION ALL SELECT 'threads', unnest([1, 8]) UNION ALL SELECT 'graphs', 2 UNION ALL SELECT 'iterations', 5 UNION ALL SELECT 'default_tau', 1024")
+def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON configuration and one of parameters, of which keys that are none are ignored and missing ones have their defaults."""
+    path = _written(spark, "config", ['{"tau_values": [64, 1024],', '"thread_counts": [1, 8], "graphs": ["a/x", "b/y"],', '"comment": "none"}'])
+    config = text.read_config(spark, path)
+    parameters = text.read_config(spark, _written(spark, "parameters", ['{"iterations": 5}']), text.Parameters)
+    rows = [*(("tau", t) for t in config.tau_values), *(("threads", t) for t in config.thread_counts), ("graphs", len(config.graphs)), ("iterations", parameters.iterations), ("default_tau", parameters.default_tau)]
+    return spark.createDataFrame(rows, "option string, value long")
+
+
+@query("SELECT * FROM (VALUES ('synthetic', 'd/graph_1k', 'graph_1k'), ('synthetic', 'd/lattice/', 'lattice'), ('real', 'web.txt', 'web.txt')) t(kind, path, name)")
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON catalog of lists of paths, each with the name of its graph."""
+    return text.read_catalog(spark, _written(spark, "catalog", ['{"synthetic": ["d/graph_1k", "d/lattice/"],', '"real": ["web.txt"], "none": []}']))
+
+
 # ---- metrics and reports
+#: What a runner gives for a run, from the rows that stand in for runs.
+RESULTS = """results AS (SELECT algorithm, graph, CAST(100 + ordinal % 50 AS INTEGER) AS nodes, edges, threads, tau, time_ms, CAST(ordinal % 9 AS INTEGER) AS num_sccs, CAST(ordinal % 13 AS INTEGER) AS max_scc_size,
+  CASE WHEN time_ms <> 0 THEN edges / 1000.0 / time_ms END AS throughput, CAST(ordinal % 5 AS INTEGER) AS trim_count, CASE WHEN ordinal % 3 = 0 THEN 'YES' ELSE 'NO' END AS correct FROM runs)"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: (F.col("ordinal") % n).cast("int")
+    rows = runs(spark, sf_dir).withColumns({"nodes": 100 + at(50), "num_sccs": at(9), "max_scc_size": at(13), "trim_count": at(5), "correct": F.when(F.col("ordinal") % 2 == 0, F.col("ordinal") % 3 == 0).otherwise(F.when(F.col("ordinal") % 3 == 0, True))})
+    return metrics.with_throughput(rows)
+
+
+@query(f"WITH {RUNS}, {RESULTS} SELECT algorithm, graph, nodes, edges, threads, tau, round(time_ms, {DIGITS}) AS time_ms, num_sccs, max_scc_size, round(throughput, {DIGITS}) AS throughput, trim_count, correct FROM results")
+def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat results written as CSV and read again, a null `correct` as NO."""
+    path = new_folder(spark, "results")
+    text.write_csv(metrics.results_table(results(spark, sf_dir)), path)
+    return _rounded(text.read_csv(spark, path, text.RESULTS), "time_ms", "throughput")
+
+
+@query(f"WITH {RUNS} SELECT algorithm, graph, round(trimming, {DIGITS}) AS trimming, round(big_scc, {DIGITS}) AS big_scc, round(coalesce(trimming, 0) + big_scc, {DIGITS}) AS total FROM runs")
+def breakdown_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested phases as columns, written as CSV and read again; phases that were not timed come back as null."""
+    phases = F.struct("trimming", *[F.lit(None).cast("double").alias(p) for p in metrics.PHASES[1:-3]], "big_scc", F.lit(None).cast("double").alias("others"), (F.coalesce("trimming", F.lit(0.0)) + F.col("big_scc")).alias("total"))
+    path = new_folder(spark, "breakdown")
+    text.write_csv(metrics.breakdown(runs(spark, sf_dir).withColumn("breakdown", phases)).drop("threads", "ordinal"), path)
+    return _rounded(text.read_csv(spark, path, text.BREAKDOWN), "trimming", "big_scc", "total").select("algorithm", "graph", "trimming", "big_scc", "total")
+
+
+@query(f"{SCALED} SELECT algorithm, graph, threads, round(time_ms, {DIGITS}) AS time_ms, round(speedup, {DIGITS}) AS speedup, round(efficiency, {DIGITS}) AS efficiency FROM scaled")
+def scalability_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "scalability")
+    text.write_csv(metrics.scalability(runs(spark, sf_dir)).select(*text.SCALABILITY.names), path)
+    return _rounded(text.read_csv(spark, path, text.SCALABILITY), "time_ms", "speedup", "efficiency")
+
+
+@query(f"WITH {RUNS} SELECT graph, CASE algorithm WHEN 'VGC-0' THEN 'std::vector' WHEN 'VGC-1' THEN 'HashBag' END AS structure, round(time_ms, {DIGITS}) AS time_ms FROM runs WHERE algorithm IN ('VGC-0', 'VGC-1')")
+def structures_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "structures")
+    text.write_csv(metrics.structures(runs(spark, sf_dir), {"VGC-0": "std::vector", "VGC-1": "HashBag"}), path)
+    return _rounded(text.read_csv(spark, path, text.STRUCTURES), "time_ms")
+
+
+@query(f"""WITH {RUNS}, {RESULTS} SELECT unnest(['### Algorithm: ' || algorithm, '### Graph: ' || graph, '### Vertices: ' || nodes, '### Edges: ' || edges, '### Threads: ' || threads,
+  '### SCCs: ' || num_sccs, '### Largest SCC: ' || max_scc_size, '### Time: ' || printf('%.3f', CAST(time_ms AS DECIMAL(18, 3))) || ' ms']) AS line FROM results""")
+def console_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the report on the console, but for the throughput, whose last digit two languages round differently."""
+    return metrics.console(results(spark, sf_dir)).where(~F.col("line").startswith("### Throughput"))
+
+
+@query(f"WITH {RUNS}, l AS (SELECT algorithm, graph, 'trimming' AS phase, trimming AS ms FROM runs UNION ALL SELECT algorithm, graph, 'big_scc', big_scc FROM runs) SELECT algorithm, graph, phase, round(coalesce(sum(ms), 0.0), 3) AS ms FROM l GROUP BY ALL")
+def phase_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.phase_sums(runs(spark, sf_dir), ("trimming", "big_scc")).withColumn("ms", F.round("ms", 3))
+
+
+@query(f"WITH {RUNS} SELECT algorithm, to_json(list_sort(list(DISTINCT threads))) AS values FROM runs GROUP BY 1")
+def distinct_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.distinct_values(runs(spark, sf_dir), "algorithm", "threads").select("algorithm", F.to_json("values").alias("values"))
+
+
+@query("SELECT event_id, lower('Run_' || event_type || '_' || user_id) AS label, ((user_id - 50) % 7 + 7) % 7 AS part FROM events")
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-case labels of columns, and remainders that are never negative."""
+    return _read(spark, sf_dir, "events").select("event_id", scalars.label_of("Run", "event_type", "user_id").alias("label"), scalars.bounded(F.col("user_id") - 50, 7).alias("part"))
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS pairs, count(DISTINCT (user_id, event_type)) AS hashes FROM events")
+def hashed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs, and 64-bit hashes of them, are as many."""
+    events = _read(spark, sf_dir, "events")
+    return events.agg(F.countDistinct(scalars.pair(F.col("user_id"), F.col("event_type"))).alias("pairs"), F.countDistinct(scalars.mixed(F.col("user_id"), F.col("event_type"))).alias("hashes"))
+
+
+@query("SELECT 'graph_1k' AS graph, 'Tarjan' AS algorithm, 2 AS threads, 4 AS runs, CAST(0 AS BIGINT) AS missing WHERE false UNION ALL SELECT graph, algorithm, threads, runs, CAST(1 AS BIGINT) FROM (VALUES ('lattice_10k', 'Tarjan', 2, 1), ('lattice_10k', 'VGC', 2, 2), ('lattice_10k', 'Tarjan', 3, 1), ('lattice_10k', 'VGC', 3, 2)) t(graph, algorithm, threads, runs)")
+def configured_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration run: two numbers of threads, two values of tau, and a path that is not there, which is skipped and counted."""
+    paths = generators.build(spark, new_folder(spark, "graphs"), ["lattice_10k"])
+    config = text.BenchmarkConfig(tau_values=[64, 20_000], thread_counts=[2, 3], graphs=[paths["lattice_10k"], f"{paths['lattice_10k']}-none"])
+    table, missing = metrics.run_configured(spark, config, text.Parameters(iterations=1), generators.load, ("Tarjan", "VGC"))
+    assert table.where("NOT correct OR num_sccs <> 10000").isEmpty()
+    return table.groupBy("graph", "algorithm", "threads").agg(F.count("*").cast("int").alias("runs")).withColumn("missing", F.lit(len(missing)).cast("long"))
+
+
 @query(f"{SCALED} SELECT algorithm, graph, threads, ordinal, round(speedup, {DIGITS}) AS speedup, round(efficiency, {DIGITS}) AS efficiency FROM scaled")
 def scalability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.scalability(runs(spark, sf_dir)), "speedup", "efficiency").select("algorithm", "graph", "threads", "ordinal", "speedup", "efficiency")
@@ -331,8 +485,7 @@ def frontier_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.structures(runs(spark, sf_dir), {"VGC-0": "std::vector", "VGC-1": "HashBag"}), "time_ms")
 
 
-@query("SELECT 'Tarjan' AS algorithm, CAST(2 AS BIGINT) AS num_sccs, 'YES' AS correct UNION ALL SELECT 'Colouring', 2, 'YES' UNION ALL SELECT 'VGC', 2, 'YES'")
+@query(with_graph("D", f", {SCC} SELECT algorithm, (SELECT count(DISTINCT scc) FROM scc) AS num_sccs, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM scc GROUP BY scc)), 0) AS max_scc_size, 'YES' AS correct FROM (VALUES ('Tarjan'), ('Colouring'), ('VGC')) t(algorithm)"))
 def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark driver on a small graph, without its times."""
-    graph = Graph.literal(spark, 4, [(0, 1), (1, 0), (1, 2), (2, 3), (3, 2)])
-    return metrics.results_table(metrics.measure(graph, "two", ("Tarjan", "Colouring", "VGC"))).select("algorithm", "num_sccs", "correct")
+    """The benchmark driver on a graph, without its times."""
+    return metrics.results_table(metrics.measure(derived(spark, sf_dir, "D"), "trade", ("Tarjan", "Colouring", "VGC"))).select("algorithm", "num_sccs", "max_scc_size", "correct")

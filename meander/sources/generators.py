@@ -85,8 +85,3 @@ def build(spark: SparkSession, folder: str, names: list[str] | None = None) -> d
 def load(spark: SparkSession, path: str) -> Graph:
     """A graph as build() writes it."""
     return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
-
-
-def edges_table(spark: SparkSession, path: str, src: str, dst: str) -> DataFrame:
-    """An edge table of any Parquet table with two integer columns."""
-    return spark.read.parquet(path).select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))

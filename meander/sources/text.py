@@ -56,7 +56,7 @@ def graph_name_column(path: str = "path"):
 
 @dataclass
 class Parameters:
-    """Options of a run; unlike a comment, each of them counts."""
+    """Options of runs where the configuration has none: plans.metrics.run_configured takes them."""
 
     default_tau: int = 1024
     default_threads: int = 8
@@ -66,7 +66,7 @@ class Parameters:
 @dataclass
 class BenchmarkConfig:
     tau_values: list[int] = field(default_factory=list)
-    thread_counts: list[int] = field(default_factory=lambda: [1])
+    thread_counts: list[int] = field(default_factory=list)
     graphs: list[str] = field(default_factory=list)
 
 

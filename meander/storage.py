@@ -14,11 +14,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder takes its place."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder takes its place, but on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meander-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -52,12 +54,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stash_and(df: DataFrame, name: str, found: Column | None = None) -> tuple[DataFrame, int]:
-    """stash(), and how many rows (or how many with `found`) were written, observed by the same job.
+def stash_observed(df: DataFrame, name: str, found: dict[str, Column]) -> tuple[DataFrame, dict, str]:
+    """stash(), aggregates of what was written, observed by the same job, and the path, for forget().
 
-    A stage that ran again may count rows twice, so the number says whether there are any.
+    A stage that ran again may count rows twice, so numbers say whether something has changed, not how many there are.
     """
     seen = Observation()
-    counted = F.count(F.lit(1)) if found is None else F.count_if(found)
-    out = stash(df.observe(seen, counted.alias("n")), name)
-    return out, seen.get["n"]
+    observed = df.observe(seen, *[c.alias(k) for k, c in found.items()])
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    observed.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), dict(seen.get), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    delete(spark, path)
+    if (spark, path) in _made:
+        _made.remove((spark, path))

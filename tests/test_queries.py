@@ -21,7 +21,7 @@ def db():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"scc_kout_100k", "scc_multi_d", "scc_bgss_d"}))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, db, name):
     found = queries.QUERIES[name](spark, DATA)
     columns = sorted(found.columns)
