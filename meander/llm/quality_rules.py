@@ -46,7 +46,9 @@ BELOW, ABOVE, LEAST_WIDTH = 6.0, 4.0, 0.01
 LEAST_WORDS = 50
 
 #: Distinct n-grams that a task holds before it gives them on; bounds memory only.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Text bytes that one step works on, with some ten numbers of 8 bytes for each.
+STEP_BYTES = 500_000
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))
@@ -73,7 +75,7 @@ def n_grams(texts: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, n
 
 def by_language(langs: list[int], texts: list[bytes]) -> Iterator[tuple[int, list[int], list[list[bytes]]]]:
     """(language, places, words of the texts that have some) in steps of bounded size."""
-    for first, part in chunks(texts):
+    for first, part in chunks(texts, STEP_BYTES):
         groups: dict[int, list[int]] = {}
         split = [raw.split() for raw in part]
         for i, words in enumerate(split):
