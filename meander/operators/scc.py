@@ -23,8 +23,8 @@ from . import local
 from .reach import bfs, least_ancestor, least_centres
 from .trim import trim
 
-#: Edges that one task may take: at some 100 bytes an edge in its arrays, about 400 MB.
-LOCAL_EDGES = 4_000_000
+#: Edges that one task may take: at some 100 bytes an edge in its arrays, about 600 MB.
+LOCAL_EDGES = 6_000_000
 #: Waves of peeling before a method goes on; the rest of a long chain is found by its later steps.
 WAVES = 3
 BETA, SEED, TAU = 1.1, 12345, 1024
@@ -80,6 +80,7 @@ def one_task(graph: Graph, most_vertices: int | None = None) -> DataFrame:
 
 
 def tarjan(graph: Graph, clock: Clock | None = None) -> DataFrame:
+    """All of the graph in one task, whatever its size: for those who know that it fits. `hybrid` counts first."""
     return one_task(graph)
 
 
