@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, url_filter, warc
+from . import chat, decontaminate, importance, license_scan, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, url_filter, vector_codes, warc
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(read(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_quality_classifier, op2_jump_sharding, op3_chat_formatting, op4_simhash_dedup, op5_decontaminate, op6_best_fit_packing,
-    op7_secret_scan, op8_quality_rules, op9_url_filter, op10_warc, pipeline,
+    op7_secret_scan, op8_quality_rules, op9_url_filter, op10_warc, op11_vector_codes, op12_license_scan, op13_importance_resampling, pipeline,
 )
 
 
@@ -68,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; all columns are compared."""
-    return {"op2_jump_sharding": sharding.oracle(), "op5_decontaminate": decontaminate.oracle(), "op10_warc": warc.oracle(), "op3_chat_formatting": chat.oracle(), "op9_url_filter": url_filter.oracle()}
+    return {"op2_jump_sharding": sharding.oracle(), "op5_decontaminate": decontaminate.oracle(), "op10_warc": warc.oracle(), "op3_chat_formatting": chat.oracle(), "op9_url_filter": url_filter.oracle(), "op11_vector_codes": vector_codes.oracle(), "op13_importance_resampling": importance.oracle()}
