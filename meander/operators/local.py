@@ -179,3 +179,41 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     if vertices is not None:  # a vertex is there as an edge to itself
         both = both.unionByName(vertices.select(vertices["v"].alias("src"), vertices["v"].alias("dst")))
     return both.mapInArrow(_pack, "src binary, dst binary").repartition(1).mapInArrow(run, "v long, scc long")
+
+
+#: Edges of parts that a task solves at a time: whole parts, so the largest part comes on top.
+AT_ONCE = 500_000
+
+
+def components_of_parts(edges: DataFrame, part: list[str]) -> DataFrame:
+    """(v, scc) of the ends of edges (src, dst, *part) between whose parts no component reaches; parts have bounded sizes.
+
+    Parts are dealt to tasks by their key and come one after another, so a task holds AT_ONCE edges and a part, whatever the
+    number of parts. Parts have no edges between them, so several are solved as one graph.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def solved(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
+            ids, least = least_members(src[:0], src, dst)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["v", "scc"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(i).to_numpy() for i in range(batch.num_columns)])
+                size += batch.num_rows
+            if size < AT_ONCE:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            same = np.logical_and.reduce([c == c[-1] for c in columns[2:]])
+            whole = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last part begins
+            if whole:
+                yield solved(columns[0][:whole], columns[1][:whole])
+            held = [[c[whole:] for c in columns]]
+            size = len(same) - whole
+        if size:
+            yield solved(*(np.concatenate(c) for c in list(zip(*held, strict=True))[:2]))
+
+    return edges.select("src", "dst", *part).repartition(*part).sortWithinPartitions(*part).mapInArrow(run, "v long, scc long")

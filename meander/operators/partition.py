@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import BLOCK, Graph
+from .order import positions
+from .trim import layers
 
 
 def normalise(labels: DataFrame, v: str = "v", label: str = "scc") -> DataFrame:
@@ -60,3 +62,15 @@ def condensation(graph: Graph, labels: DataFrame) -> DataFrame:
     source, target = (labels.select(F.col("v").alias(end), F.col("scc").alias(f"scc_{end}")) for end in ("src", "dst"))
     joined = graph.edges.join(source, "src").join(target, "dst").where("scc_src <> scc_dst")
     return joined.groupBy(F.col("scc_src").alias("src"), F.col("scc_dst").alias("dst")).agg(F.count("*").alias("edges"))
+
+
+def topological(graph: Graph, labels: DataFrame) -> DataFrame:
+    """(v, label): components (v, scc) numbered from 0 so that along every edge between two of them the number falls.
+
+    This is the order in which depth-first search completes components, made one: by the longest path of components that
+    starts at one, then by its smallest vertex. Paths are found by peeling the condensation from its ends, layer by layer.
+    """
+    edges = condensation(graph, labels).select("src", "dst")
+    found = layers(Graph(labels.select(F.col("scc").alias("v")).distinct(), edges))
+    order = positions(found, ["layer", "v"], "label").select(F.col("v").alias("scc"), "label")
+    return labels.join(order, "scc").select("v", "label")

@@ -1,14 +1,23 @@
-"""Reachability as fixpoints: a step is one join of a state with the edges and one aggregation by their other ends."""
+"""Reachability: searches over blocks of adjacency, of which only borders are exchanged.
+
+Graphs with a vertex of more edges than a block may have take fixpoint(), whose step is one join of the whole state with the
+edges and one aggregation by their other ends.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..storage import forget, stash, stash_observed
+from .blocks import NONE, Blocks, View, bits_step, least_step
+from .order import positions
 
 #: Steps that one job takes before the state is written. The edges are shuffled once a job.
 STEPS_A_TABLE = 4
@@ -53,24 +62,82 @@ def least(edges: DataFrame, start: DataFrame, value: str, most_steps: int | None
     return fixpoint(start, step, value, value, most_steps)
 
 
+def _least_of(view: View, data: np.ndarray) -> np.ndarray:
+    """Values by vertex: along the edges, against them."""
+    return data[: len(view.nodes)].reshape(-1, 2)
+
+
+def _known(values: np.ndarray) -> pa.Array:
+    return pa.array(values, mask=values == NONE)
+
+
 def bfs(graph: Graph, sources: DataFrame, allowed: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
     """(v, depth) of every vertex that a source (v) reaches, sources themselves at depth 0.
 
-    allowed: the vertices to go through; sources outside are no sources.
+    allowed: the vertices to go through; sources outside are no sources. most_rounds: the largest depth. A superstep goes as
+    far as a block allows and sends on the vertices at its border whose depth has become less, so over a search no more is
+    shuffled than such vertices; edges and depths stay where they are.
     """
     within = graph if allowed is None else graph.subgraph(allowed)
     start = sources.select("v").distinct()
     start = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
     ends = within.vertices.select("v").unionByName(start).distinct()  # a source may be no vertex
-    return least(looped(ends, within.edges), start.select("v", F.lit(0).cast("long").alias("depth")), "depth", most_rounds)
+    blocks = Blocks.of(Graph(ends, within.edges))
+    if blocks is None:
+        return least(looped(ends, within.edges), start.select("v", F.lit(0).cast("long").alias("depth")), "depth", most_rounds)
+
+    def found(view: View, data: np.ndarray) -> dict:
+        depth = _least_of(view, data)[:, 0]
+        some = np.flatnonzero(depth < NONE)
+        return {"v": view.nodes[2 * some] >> 1, "depth": depth[some]}
+
+    first = blocks.messages(start.select((2 * F.col("v")).alias("node"), F.lit(0).alias("value")))
+    state = blocks.run(least_step(1, most=NONE if most_rounds is None else most_rounds), first)
+    return blocks.finish(state, found, "v long, depth long", "depths")
+
+
+#: Words of 64 centres that a search takes at a time.
+WORDS = 16
 
 
 def multi_reach(graph: Graph, centres: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(v, label), distinct: all pairs of a vertex and a centre (v) that reaches it. As many rows as there are pairs: for small sets of centres."""
+    """(v, label), distinct: all pairs of a vertex and a centre (v) that reaches it.
+
+    Centres are numbered and searched for 64 to a bit set, WORDS sets a vertex at a time; pairs arise only in what is given
+    back. Where a block would be too large, pairs themselves are joined.
+    """
     within = graph if allowed is None else graph.subgraph(allowed)
     start = centres.select("v").distinct()
     start = start if allowed is None else start.join(allowed.select("v"), "v", "left_semi")
-    edges = looped(within.vertices.select("v").unionByName(start).distinct(), within.edges)
+    ends = within.vertices.select("v").unionByName(start).distinct()
+    blocks = Blocks.of(Graph(ends, within.edges))
+    if blocks is None:
+        return _multi_reach_joined(ends, within.edges, start)
+    order = stash(positions(start, ["v"], "number"), "centres")
+    number, parts = order.count(), []
+    for low in range(0, number, 64 * WORDS):
+        own = order.where((F.col("number") >= low) & (F.col("number") < low + 64 * WORDS))
+        words = -(-min(number - low, 64 * WORDS) // 64)
+        labels = np.array([r["v"] for r in own.orderBy("number").collect()], np.int64)  # 64 * WORDS at most
+        bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST((number - {low}) % 64 AS INT))")
+        word = F.floor((F.col("number") - low) / 64)
+        first = blocks.messages(own.select((2 * F.col("v")).alias("node"), F.array(*[F.when(word == w, bit).otherwise(F.lit(0).cast("long")) for w in range(words)]).alias("value")), several=True)
+
+        def found(view: View, data: np.ndarray, words=words, labels=labels) -> dict:
+            bits = data.reshape(-1, words)[: len(view.nodes) : 2]
+            there = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little")
+            at, which = np.nonzero(there)
+            return {"v": view.nodes[2 * at] >> 1, "label": labels[which]}
+
+        parts.append(blocks.rows_of(blocks.run(bits_step(words), first), found, "v long, label long", "pairs"))
+    blocks.close()
+    none = start.select("v", F.col("v").alias("label")).limit(0)
+    return reduce(DataFrame.unionByName, parts) if parts else none
+
+
+def _multi_reach_joined(ends: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    """The same by joins of pairs with edges, for graphs with a vertex of very many edges."""
+    edges = looped(ends, edges)
 
     def step(state: DataFrame) -> DataFrame:
         return state.join(edges, state["v"] == edges["src"]).select(F.col("dst").alias("v"), "label").distinct()
@@ -85,14 +152,45 @@ def both_ways(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 def least_ancestor(graph: Graph) -> DataFrame:
     """(v, colour): the smallest vertex that reaches v, itself included."""
-    return least(looped(graph.vertices, graph.edges, 0), graph.vertices.select("v", F.col("v").alias("colour")), "colour")
+    return extremes(graph).select("v", F.col("down").alias("colour"))
+
+
+def _both(blocks: Blocks, state: DataFrame, name: str) -> DataFrame:
+    def found(view: View, data: np.ndarray) -> dict:
+        values = _least_of(view, data)
+        return {"v": view.nodes[::2] >> 1, "down": _known(values[:, 0]), "up": _known(values[:, 1])}
+
+    return blocks.finish(state, found, "v long, down long, up long", name)
+
+
+def extremes(graph: Graph) -> DataFrame:
+    """(v, down, up): the smallest vertex that reaches v, and the smallest that v reaches; v itself counts."""
+    blocks = Blocks.of(graph)
+    return _both_joined(graph, graph.vertices.select("v", F.col("v").alias("rank"))) if blocks is None else extremes_in(blocks)
+
+
+def extremes_in(blocks: Blocks) -> DataFrame:
+    """extremes() over blocks that are there, which are deleted then."""
+    return _both(blocks, blocks.run(least_step(0, own=True), None), "extremes")
 
 
 def least_centres(graph: Graph, centres: DataFrame) -> DataFrame:
-    """(v, down, up): the least rank of the centres (v, rank) that reach v, and of those that v reaches; null for none.
+    """(v, down, up) of every vertex: the least rank of the centres (v, rank) that reach v, and of those that v reaches; null for none.
 
-    Both searches are one fixpoint with two numbers a vertex at most, however many centres there are.
+    Both searches are one, with two numbers a vertex, however many centres there are.
     """
+    blocks = Blocks.of(graph)
+    return _both_joined(graph, centres) if blocks is None else ranks_in(blocks, centres)
+
+
+def ranks_in(blocks: Blocks, centres: DataFrame) -> DataFrame:
+    """least_centres() over blocks that are there, which are deleted then."""
+    first = centres.select(F.explode(F.array(2 * F.col("v"), 2 * F.col("v") + 1)).alias("node"), F.col("rank").alias("value"))
+    return _both(blocks, blocks.run(least_step(0), blocks.messages(first)), "ranks")
+
+
+def _both_joined(graph: Graph, centres: DataFrame) -> DataFrame:
+    """least_centres() by joins of the whole state with the edges, for graphs with a vertex of very many edges."""
     both = graph.edges.select("src", "dst", F.lit(0).alias("way")).unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("way")))
     ways = F.explode(F.array(F.lit(0), F.lit(1))).alias("way")
     edges = stash(both.unionByName(graph.vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), ways)), "both-ways")
@@ -103,4 +201,4 @@ def least_centres(graph: Graph, centres: DataFrame) -> DataFrame:
 
     found = fixpoint(centres.select("v", "rank", ways), step, "rank", "ranks")
     of = lambda way: F.min(F.when(F.col("way") == way, F.col("rank")))
-    return found.groupBy("v").agg(of(0).alias("down"), of(1).alias("up"))
+    return graph.vertices.join(found.groupBy("v").agg(of(0).alias("down"), of(1).alias("up")), "v", "left")

@@ -3,33 +3,40 @@
 tarjan    one task, linear time; for graphs that fit one
 bgss      peeling, then the component of the vertex of the largest degree, then batches of centres on the rest
 multi     peeling, then batches of centres in growing sizes
-colouring peeling, then the smallest ancestor of every vertex: a vertex that is its own is found with all of its colour
-          that reach it; repeated on the rest. One label a vertex, whatever the graph
+colouring peeling, then the smallest ancestor and the smallest descendant of every vertex: where they are one, the vertex is
+          in its component; repeated on the rest. Two labels a vertex, whatever the graph
 vgc       tarjan below a number of vertices, else bgss
 hybrid    colouring, and tarjan for whatever is left as soon as it is small enough; the default
+
+Every step of bgss, multi and colouring splits what is left into parts that no component crosses. Parts of few vertices are
+solved at once, one task each at most, so long tails of small components cost no rounds.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, pivot
-from ..storage import stash
+from ..storage import stash, stash_observed
 from . import local
-from .reach import bfs, least_ancestor, least_centres
-from .trim import trim
+from .blocks import Blocks
+from .reach import extremes, extremes_in, least_centres, ranks_in
+from .trim import peel, peeled_in
 
 #: Edges that one task may take: at some 100 bytes an edge in its arrays, about 600 MB.
 LOCAL_EDGES = 6_000_000
-#: Waves of peeling before a method goes on; the rest of a long chain is found by its later steps.
-WAVES = 3
 BETA, SEED, TAU = 1.1, 12345, 1024
 #: Growth of batches in the distributed methods: a batch costs its rounds, not its centres.
 GROWTH = 8.0
+#: Centres of the first batch: a search takes as many rounds with so many as with one.
+FIRST = 64
+#: Edges from which colouring begins with the component of the vertex of the largest degree.
+GIANT_EDGES = 500_000
 PHASES = ("trimming", "forward_reach", "backward_reach", "reachability", "labeling", "hash_bag", "big_scc", "others", "total")
 
 
@@ -84,10 +91,27 @@ def tarjan(graph: Graph, clock: Clock | None = None) -> DataFrame:
     return one_task(graph)
 
 
-def _peel(graph: Graph, clock: Clock, waves: int | None) -> tuple[Graph, DataFrame]:
-    rest, gone = clock.run("trimming", lambda: trim(graph, waves))
+def _peel(graph: Graph, clock: Clock) -> tuple[Graph, DataFrame, Blocks | None]:
+    """What peeling leaves, (v, scc) of what it takes, and blocks in which to search what is left.
+
+    Edges of the rest are those of the graph: no path among the rest leaves it, and _split() takes edges of the rest only.
+    """
+    blocks = clock.run("trimming", lambda: Blocks.of(graph))
+    if blocks is None:
+        rest, gone = clock.run("trimming", lambda: peel(graph))
+    else:
+        gone = clock.run("trimming", lambda: peeled_in(blocks))
+        rest = Graph(stash(graph.vertices.join(gone, "v", "left_anti"), "kept"), graph.edges)
     clock.trimmed += gone.count()
-    return rest, gone.select("v", F.col("v").alias("scc"))
+    return rest, gone.select("v", F.col("v").alias("scc")), blocks
+
+
+def _ranks(rest: Graph, blocks: Blocks | None, centres: DataFrame | None) -> DataFrame:
+    """(v, down, up) of the rest: the least centres either way, of all vertices where no centres are given."""
+    if blocks is None:
+        return extremes(rest) if centres is None else least_centres(rest, centres)
+    ranks = extremes_in(blocks) if centres is None else ranks_in(blocks, centres)
+    return ranks.join(rest.vertices, "v", "left_semi")
 
 
 def big_scc(graph: Graph, within: DataFrame | None = None) -> DataFrame:
@@ -98,87 +122,104 @@ def big_scc(graph: Graph, within: DataFrame | None = None) -> DataFrame:
     return canonical(members)
 
 
-def _in_batches(graph: Graph, clock: Clock, beta: float) -> DataFrame:
-    """(v, scc) of all vertices by batches of centres.
+def _split(rest: Graph, ranks: DataFrame, clock: Clock, tau: int) -> tuple[list[DataFrame], Graph]:
+    """Labellings (v, scc) that ranks (v, down, up) settle, and what they leave.
 
-    In a batch each vertex takes the least centre that reaches it and the least that it reaches. Where these are one, the
-    vertex is in that centre's component. Two vertices with different pairs of numbers are in different components, so edges
-    between them go, and centres that were not found stay centres of the batches to come. A vertex has two numbers,
-    however many centres a batch has.
+    A vertex with the same number both ways is in the component of that centre. Two vertices with different pairs of numbers
+    are in different components, so edges between them go, and vertices with one pair are a part by themselves. Parts of
+    fewer than `tau` vertices are solved each in one task, all of them at once; others are left.
+    """
+    pairs = ranks.select("v", F.coalesce("down", F.lit(-1)).alias("down"), F.coalesce("up", F.lit(-2)).alias("up"))
+    named, seen, _ = clock.run("labeling", lambda: stash_observed(pairs, "labels", {"left": F.count_if(F.col("down") != F.col("up"))}))
+    found, left = [canonical(named.where("down = up").select("v", F.col("down").alias("label")))], named.where("down <> up")
+    if not seen["left"]:
+        return found, Graph(left.select("v"), rest.edges.limit(0))
+    source, target = (left.select(F.col("v").alias(end), F.col("down").alias(f"down_{end}"), F.col("up").alias(f"up_{end}")) for end in ("src", "dst"))
+    # Only edges within a part can lie in a component; a vertex without one is a component of its own.
+    same = rest.edges.join(source, "src").join(target, "dst").where("down_src = down_dst AND up_src = up_dst").select("src", "dst", F.col("down_src").alias("down"), F.col("up_src").alias("up"))
+    same, seen, _ = clock.run("labeling", lambda: stash_observed(same, "edges", {"edges": F.count(F.lit(1))}))
+    if not seen["edges"]:
+        return [*found, left.select("v", F.col("v").alias("scc"))], Graph(left.select("v").limit(0), rest.edges.limit(0))
+    ends = stash(same.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), "ends")
+    found.append(left.join(ends, "v", "left_anti").select("v", F.col("v").alias("scc")))
+    if not tau:
+        return found, Graph(ends, same.select("src", "dst"))
+    part = ["down", "up"]
+    sizes = stash(left.groupBy(*part).agg(F.count("*").alias("n")).where(F.col("n") < tau).select(*part), "parts")
+    small = clock.run("others", lambda: stash(local.components_of_parts(same.join(sizes, part, "left_semi"), part), "solved"))
+    found.append(small)
+    large, seen, _ = stash_observed(same.join(sizes, part, "left_anti").select("src", "dst"), "edges", {"edges": F.count(F.lit(1))})
+    rest = ends.join(small, "v", "left_anti") if seen["edges"] else ends.limit(0)
+    return found, Graph(stash(rest, "vertices"), large)
+
+
+def _together(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f.select("v", "scc") for f in found])
+
+
+def _in_batches(graph: Graph, clock: Clock, beta: float, tau: int, blocks: Blocks | None = None) -> DataFrame:
+    """(v, scc) of all vertices by batches of centres. blocks: those of the graph, where they are there.
+
+    In a batch each vertex takes the least centre that reaches it and the least that it reaches, two numbers however many
+    centres there are. Centres that a batch does not find stay centres of the batches to come.
     """
-    rest = Graph(stash(graph.vertices, "vertices"), stash(graph.edges, "edges"))
+    rest = graph
     order = stash(permuted(rest.vertices), "order")
-    found = graph.vertices.limit(0).select("v", F.col("v").alias("label"))
-    n = rest.vertices.count()
-    sizes = [high for _, high in batches(n, beta)]
-    while sizes or not rest.edges.isEmpty():
+    found, n = [], rest.vertices.count()
+    sizes = [high for _, high in batches(n, beta) if high >= min(n, FIRST)]
+    while n and not rest.edges.isEmpty():
         high = sizes.pop(0) if sizes else n
-        if rest.edges.isEmpty():
-            break
         centres = order.where(F.col("pos") < high).join(rest.vertices, "v", "left_semi").select("v", F.col("pos").alias("rank"))
-        if centres.isEmpty():
+        if sizes and centres.isEmpty():
             continue
-        ranks = clock.run("reachability", lambda: least_centres(rest, centres))  # noqa: B023
+        ranks = clock.run("reachability", lambda: _ranks(rest, blocks, centres))  # noqa: B023
+        new, rest = _split(rest, ranks, clock, tau)
+        found, blocks = found + new, None
+    if blocks is not None:
+        blocks.close()
+    return _together([*found, rest.vertices.select("v", F.col("v").alias("scc"))])
 
-        def label() -> DataFrame:
-            named = rest.vertices.join(ranks, "v", "left")  # noqa: B023
-            return stash(named.select("v", F.coalesce("down", F.lit(-1)).alias("down"), F.coalesce("up", F.lit(-2)).alias("up")), "labels")
 
-        named = clock.run("labeling", label)
-        found = found.unionByName(named.where("down = up").select("v", F.col("down").alias("label")))
-        left = named.where("down <> up")
-        source, target = (left.select(F.col("v").alias(end), F.col("down").alias(f"down_{end}"), F.col("up").alias(f"up_{end}")) for end in ("src", "dst"))
-        same = rest.edges.join(source, "src").join(target, "dst").where("down_src = down_dst AND up_src = up_dst").select("src", "dst")
-        rest = Graph(left.select("v"), stash(same, "edges"))
-    # Without edges each vertex that is left is a component. Ranks are from 0, and vertices are told apart from them by sign.
-    alone = rest.vertices.select("v", (-F.col("v") - 1).alias("label"))
-    return canonical(found.unionByName(alone))
-
-
-def bgss(graph: Graph, clock: Clock | None = None, beta: float = GROWTH, waves: int | None = None) -> DataFrame:
+def bgss(graph: Graph, clock: Clock | None = None, beta: float = GROWTH, tau: int = TAU) -> DataFrame:
+    """tau: parts of fewer vertices are solved in one task each, after the giant step and after each batch; 0 for none."""
     clock = clock or Clock()
     simple = Graph(graph.vertices, stash(graph.simple().edges, "edges"))
-    rest, gone = _peel(simple, clock, waves)
-    if rest.vertices.isEmpty():
-        return gone
-    giant = clock.run("big_scc", lambda: stash(big_scc(graph, rest.vertices), "giant"))
-    left = stash(rest.vertices.join(giant, "v", "left_anti"), "vertices")
-    others = _in_batches(rest.subgraph(left), clock, beta)
-    return gone.unionByName(giant).unionByName(others)
+    rest, gone, blocks = _peel(simple, clock)
+    centre = stash(pivot(graph, rest.vertices).select("v", F.lit(0).cast("long").alias("rank")), "pivot")
+    ranks = clock.run("big_scc", lambda: _ranks(rest, blocks, centre))
+    found, rest = _split(rest, ranks, clock, tau)
+    return _together([gone, *found, _in_batches(rest, clock, beta, tau)])
 
 
-def multi(graph: Graph, clock: Clock | None = None, beta: float = GROWTH, waves: int | None = None) -> DataFrame:
+def multi(graph: Graph, clock: Clock | None = None, beta: float = GROWTH, tau: int = TAU) -> DataFrame:
     clock = clock or Clock()
-    rest, gone = _peel(Graph(graph.vertices, stash(graph.simple().edges, "edges")), clock, waves)
-    return gone.unionByName(_in_batches(rest, clock, beta))
+    rest, gone, blocks = _peel(Graph(graph.vertices, stash(graph.simple().edges, "edges")), clock)
+    return _together([gone, _in_batches(rest, clock, beta, tau, blocks)])
 
 
-def colouring(graph: Graph, clock: Clock | None = None, local_edges: int = 0, waves: int | None = WAVES) -> DataFrame:
+def colouring(graph: Graph, clock: Clock | None = None, local_edges: int = 0, tau: int = TAU) -> DataFrame:
     """local_edges: with no more edges than this, the rest goes to one task."""
     clock = clock or Clock()
     if local_edges and graph.edges.count() <= local_edges:  # one task needs no distinct edges
         return clock.run("others", lambda: tarjan(graph))
-    rest = Graph(graph.vertices, stash(graph.simple().edges, "edges"))
-    found = graph.vertices.limit(0).select("v", F.col("v").alias("scc"))
+    rest, found = Graph(graph.vertices, stash(graph.simple().edges, "edges")), []
+    giant = True
     while True:
         edges = rest.edges.count()
+        if not edges:
+            return _together([*found, rest.vertices.select("v", F.col("v").alias("scc"))])
         if edges <= local_edges:
-            return found.unionByName(clock.run("others", lambda: one_task(rest)))  # noqa: B023
-        rest, gone = _peel(rest, clock, waves)
-        found = found.unionByName(gone)
-        edges = rest.edges.count()
-        if edges <= local_edges:
-            continue
-        colours = clock.run("reachability", lambda: least_ancestor(rest))  # noqa: B023
-        # Only edges within a colour can lie in a component that its root is in.
-        source, target = (colours.select(F.col("v").alias(end), F.col("colour").alias(f"colour_{end}")) for end in ("src", "dst"))
-        same = stash(rest.edges.join(source, "src").join(target, "dst").where("colour_src = colour_dst").select("src", "dst"), "edges")
-        roots = colours.where("v = colour").select("v")
-        members = clock.run("labeling", lambda: bfs(Graph(rest.vertices, same).transpose(), roots))  # noqa: B023
-        new = stash(colours.join(members.select("v"), "v", "left_semi").select("v", F.col("colour").alias("scc")), "labels")
-        found = found.unionByName(new)
-        kept = stash(rest.vertices.join(new, "v", "left_anti"), "vertices")
-        rest = Graph(kept, stash(rest.subgraph(kept).edges, "edges"))
+            return _together([*found, clock.run("others", lambda: one_task(rest))])  # noqa: B023
+        rest, gone, blocks = _peel(rest, clock)
+        found.append(gone)
+        centre = None
+        if giant and edges >= GIANT_EDGES:
+            # One label moves far less than one a vertex, and takes off the bulk of most large graphs.
+            centre = stash(pivot(rest, rest.vertices).select("v", F.lit(0).cast("long").alias("rank")), "pivot")
+        giant = False
+        ranks = clock.run("big_scc" if centre is not None else "reachability", lambda: _ranks(rest, blocks, centre))  # noqa: B023
+        new, rest = _split(rest, ranks, clock, tau)
+        found += new
 
 
 def hybrid(graph: Graph, clock: Clock | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -186,8 +227,9 @@ def hybrid(graph: Graph, clock: Clock | None = None, local_edges: int = LOCAL_ED
 
 
 def vgc(graph: Graph, clock: Clock | None = None, tau: int = TAU) -> DataFrame:
+    """Below tau vertices one task; else bgss, in which every part that falls below tau is solved in one."""
     small = graph.vertices.count() < tau and graph.edges.count() <= LOCAL_EDGES
-    return tarjan(graph, clock) if small else bgss(graph, clock)
+    return tarjan(graph, clock) if small else bgss(graph, clock, tau=tau)
 
 
 METHODS: dict[str, Callable] = {"tarjan": tarjan, "bgss": bgss, "multi": multi, "colouring": colouring, "vgc": vgc, "hybrid": hybrid}

@@ -29,14 +29,49 @@ def parse_edges(lines: DataFrame, mode: str = "strict") -> DataFrame:
     return read.select(checked.alias("src"), "dst")
 
 
+#: Where an edge list keeps its size and what each of its files has; Spark does not read names that begin so as edges.
+MANIFEST = "_graph"
+
+
 def read_edges(spark: SparkSession, path: str, mode: str = "strict") -> Graph:
-    """A graph of an edge list; .gz is read as it is. A path that is not there raises an error."""
-    return Graph.from_edges(parse_edges(spark.read.text(path), mode))
+    """A graph of an edge list; .gz is read as it is. A path that is not there raises an error.
+
+    Where write_edges() has left a manifest, the number of vertices is as it was written; else it is the largest id and one.
+    """
+    n = read_size(spark, path)["n"] if exists(spark, f"{path}/{MANIFEST}") else None
+    return Graph.from_edges(parse_edges(spark.read.text(path), mode), n)
+
+
+def read_size(spark: SparkSession, path: str) -> dict[str, int]:
+    """n (vertices) and m (edges) of a manifest."""
+    return spark.read.schema("n long, m long").json(f"{path}/{MANIFEST}/size").first().asDict()
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, last, edges) of the files of an edge list, in the order of its edges: sources and their number."""
+    return spark.read.schema("file string, first long, last long, edges long").json(f"{path}/{MANIFEST}/files")
+
+
+def read_sources(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """(src, dst) of the edges whose source is from low up to but not high. Files that have none by the manifest are not opened."""
+    files = read_manifest(spark, path).where((F.col("last") >= low) & (F.col("first") < high)).select("file").collect()  # a name a file
+    if not files:
+        return spark.createDataFrame([], "src long, dst long")
+    edges = parse_edges(spark.read.text([f"{path}/{r['file']}" for r in files]))
+    return edges.where((F.col("src") >= low) & (F.col("src") < high))
 
 
 def write_edges(graph: Graph, path: str) -> None:
-    """One `src dst` line an edge, in order of source within each file. Vertices past the last edge are not kept."""
-    graph.edges.sortWithinPartitions("src").select(F.concat_ws(" ", "src", "dst").alias("value")).write.mode("overwrite").text(path)
+    """One `src dst` line an edge, in order of source and target over all files, and a manifest, with which edge-less vertices are kept."""
+    ordered = graph.edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    ordered.select(F.concat_ws(" ", "src", "dst").alias("value")).write.mode("overwrite").text(path)
+    spark = graph.edges.sparkSession
+    source = F.split("value", " ")[0].cast("long")
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), source.alias("src"))
+    files = lines.groupBy("file").agg(F.min("src").alias("first"), F.max("src").alias("last"), F.count("*").alias("edges"))
+    files.orderBy("file").write.json(f"{path}/{MANIFEST}/files")
+    n = graph.vertices.agg((F.coalesce(F.max("v"), F.lit(-1)) + 1).alias("n"))
+    n.join(read_manifest(spark, path).agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("m")), how="cross").write.json(f"{path}/{MANIFEST}/size")  # one row each
 
 
 def exists(spark: SparkSession, path: str) -> bool:
