@@ -104,13 +104,17 @@ def histogram(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, sample: int) -> DataFrame:
-    """(y, buckets, shares) of the sample. A key that has several labels counts by their average, from a half up as 1."""
+    """(y, buckets, shares) of the sample, one row a key, so never more than `sample`, however often rows are repeated.
+
+    A key that has several labels counts by their average, from a half up as 1; of several texts it gives the least.
+    """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
         .orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample)
     )
     # At most `sample` rows of two numbers, by the limit: this side is small whatever the input.
-    some = docs.select(F.col(key), F.col(text).alias("__quality_text")).join(F.broadcast(chosen), key).select("y", "__quality_text")
+    found = docs.select(F.col(key), F.col(text).alias("__quality_text")).join(F.broadcast(chosen), key)
+    some = found.groupBy(key).agg(F.min("y").alias("y"), F.min("__quality_text").alias("__quality_text")).select("y", "__quality_text")
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
