@@ -6,7 +6,7 @@ words of an item, or a whole item that has fewer) ends wherever that length reac
 
 Items are taken in blocks of bounded size, each an automaton of its own, and all blocks are applied to every document,
 so a test set of any size is matched whole: one broadcast carries up to BLOCKS_AT_ONCE blocks, and further ones follow in
-a further pass over the same rows, which adds its hits to those found before.
+a further pass over the same rows, which are written between passes and to which it adds its hits.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, texts_of
+from .common import released, stash, texts_of
 
 #: Words as the contract has them: ASCII letters and digits and all bytes from 0x80 on; A-Z are lowered.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -229,23 +229,27 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    groups, automata = [], []
-    for block in blocks_of(items, item_id, item_text, block_bytes):
-        automata.append(Automaton(block, window))
-        if len(automata) == BLOCKS_AT_ONCE:
-            groups.append(spark.sparkContext.broadcast(automata))
-            automata = []
-    if automata or not groups:
-        groups.append(spark.sparkContext.broadcast(automata))
     own = [docs[c] for c in keep]
-    if most_covered is None:
+    of = text
+    if most_covered is not None:
+        if text not in keep:
+            raise ValueError("texts are cut where they are kept")
+    else:
         own.append(docs[text].alias(TEXT))
-        text = TEXT
+        of = TEXT
     out = docs.select(*own, F.lit(None).cast(SPANS).alias(HIT_SPANS), F.lit(None).cast(T.ArrayType(T.StringType())).alias(HIT_ITEMS))
     kind = T.StructType([*out.schema.fields, T.StructField(N_WORDS, T.LongType()), T.StructField(CUT, T.BooleanType())])
-    for k, group in enumerate(groups, 1):
-        out = out.drop(N_WORDS, CUT).mapInArrow(_scanner(group, text, most_covered if k == len(groups) else None), kind)
-    return out.drop(TEXT)
+    blocks = blocks_of(items, item_id, item_text, block_bytes)
+    group = list(islice(blocks, BLOCKS_AT_ONCE))
+    while True:
+        after = list(islice(blocks, BLOCKS_AT_ONCE))
+        automata = spark.sparkContext.broadcast([Automaton(block, window) for block in group])
+        out = out.drop(N_WORDS, CUT).mapInArrow(_scanner(automata, of, None if after else most_covered), kind)
+        if not after:
+            return out.drop(TEXT)
+        out = stash(out, "scanned")  # so that a task holds the automata of one pass
+        automata.destroy()
+        group = after
 
 
 #: Rows that are held and given on at a time.
