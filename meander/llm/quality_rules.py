@@ -1,7 +1,7 @@
 """Quality rules: an n-gram perplexity with bands by language, beside plain counts of a text.
 
 The language model is a modified Kneser-Ney model of byte n-grams of the order ORDER over the whole text: words are joined
-by one space, words with a digit are one word, n-grams run across words, and ORDER - 1 spaces stand before the first. Every language has a model of its
+by one space, runs of digits are one digit, n-grams run across words, and ORDER - 1 spaces stand before the first. Every language has a model of its
 own, a null language as well. Spark counts the n-grams of all documents (a task counts its own first, so what is shuffled
 is at most a task's distinct n-grams), takes continuation counts, discounts and back-off weights from the counts by
 aggregation, and the probabilities of each order by a join with the order below.
@@ -54,8 +54,8 @@ STEP_BYTES = 500_000
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
-#: Words with a digit are one to the model: it learns where numbers and identifiers stand, not which.
-NUMBER = re.compile(rb"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+")
+#: A run of digits is one digit to the model: it learns where numbers stand, not which. What is around them stays as it is.
+NUMBER = re.compile(rb"[0-9]+")
 #: Multipliers of the hash of the arrays (odd, so that n-grams of one language never meet).
 MIX = (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)
 

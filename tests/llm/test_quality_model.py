@@ -26,7 +26,7 @@ def corpus(seed=1, n=60):
 
 
 def grams_of(text, order):
-    raw = b" " * (order - 1) + b" ".join(b"0" if re.search(rb"[0-9]", w) else w for w in text.encode().split()) + b" "
+    raw = b" " * (order - 1) + re.sub(rb"[0-9]+", b"0", b" ".join(text.encode().split())) + b" "
     return [raw[i : i + order] for i in range(len(raw) - order + 1)]
 
 
