@@ -65,17 +65,20 @@ STANDARD = (
 )
 
 
-def standard(spark: SparkSession, name: str) -> Graph:
-    kind, parameters = next((k, p) for n, k, p in STANDARD if n == name)
+def made(spark: SparkSession, kind: str, parameters: tuple[int, ...]) -> Graph:
     return {"kout": kout, "lattice": lattice}[kind](spark, *parameters)
 
 
-def build(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, str]:
-    """Write standard graphs as Parquet edges and vertices; (name, path)."""
+def standard(spark: SparkSession, name: str) -> Graph:
+    return made(spark, *next((k, p) for n, k, p in STANDARD if n == name))
+
+
+def build(spark: SparkSession, folder: str, names: list[str] | None = None, kinds=STANDARD) -> dict[str, str]:
+    """Write graphs, the standard ones unless others are given, as Parquet edges and vertices; (name, path)."""
     out = {}
-    for name, _, _ in STANDARD:
+    for name, kind, parameters in kinds:
         if names is None or name in names:
-            graph, path = standard(spark, name), f"{folder}/{name}"
+            graph, path = made(spark, kind, parameters), f"{folder}/{name}"
             graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
             graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
             out[name] = path
