@@ -279,8 +279,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return one_of_each(rows, "__fp", stash(connected(links(nodes), "a", "b"), "roots"), key, text).select(*docs.columns)
 
 
-def one_of_each(rows: DataFrame, node: str, roots: DataFrame, key: str, text: str) -> DataFrame:
-    """One row of each component of written rows, that of the smallest id and, of these, of the least hash of its text.
+def chosen_ids(rows: DataFrame, node: str, roots: DataFrame, key: str, text: str) -> DataFrame:
+    """(__id), written: of each component of written rows the one of the smallest id and, of these, of the least hash of its text.
 
     roots: (node, root) of nodes that link to another. Rows are told apart by __id, which was written with them. Each node
     gives one row before anything is joined, so that a crowd of copies is no large group.
@@ -288,4 +288,9 @@ def one_of_each(rows: DataFrame, node: str, roots: DataFrame, key: str, text: st
     row = F.struct(F.col(key).isNotNull(), F.col(key), F.xxhash64(text), F.col("__id").alias("id"))
     best = stash(rows.groupBy(F.col(node).alias("n")).agg(F.min(row).alias("row")), "best")
     chosen = best.join(roots, best["n"] == roots["node"], "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("row").alias("row"))
-    return rows.join(stash(chosen.select(F.col("row.id").alias("__id")), "chosen"), "__id", "left_semi")
+    return stash(chosen.select(F.col("row.id").alias("__id")), "chosen")
+
+
+def one_of_each(rows: DataFrame, node: str, roots: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of chosen_ids()."""
+    return rows.join(chosen_ids(rows, node, roots, key, text), "__id", "left_semi")
