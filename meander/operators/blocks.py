@@ -266,13 +266,14 @@ def least_step(cost: int, own: bool = False, most: int = NONE) -> Step:
     return step
 
 
-def peel_step(waves: bool, sides: tuple[int, ...] = (0, 1)) -> Step:
+def peel_step(waves: bool, sides: tuple[int, ...] = (0, 1), most: int | None = None) -> Step:
     """Vertices go that have no edge left on one of `sides` (0: in, 1: out); what goes is taken off its neighbours' counts, once.
 
     The data are three numbers a node: the edges that it has left on its side, the wave of its vertex (0 while it is there),
     and the latest wave of those that have gone on its side. A node's edges out are its partner's edges in: 2 v counts the
-    edges into v, 2 v + 1 those out of it. waves: a superstep is one wave. Without, peeling goes on inside a block, and with
-    one side the wave is the number of vertices on the longest path that ends with the vertex.
+    edges into v, 2 v + 1 those out of it. waves: a superstep is one wave, up to `most`, but a block without ghosts takes all
+    waves in the first. Without, peeling goes on inside a block, and with one side the wave is the number of vertices on the
+    longest path that ends with the vertex.
     """
     counted = sides[0] if len(sides) == 1 else None
 
@@ -305,10 +306,11 @@ def peel_step(waves: bool, sides: tuple[int, ...] = (0, 1)) -> Step:
             np.add.at(taken, targets[~near] - n, 1)
             np.maximum.at(carried, targets[~near] - n, from_wave[~near])
             going = ready(targets[near].astype(np.int64))
-            if waves:
+            if waves and (len(view.ghosts) or now == most):
                 break
+            now += 1
         places = np.flatnonzero(taken)
-        return np.concatenate([left, wave, latest]), places, [taken[places], carried[places]], bool(len(going))
+        return np.concatenate([left, wave, latest]), places, [taken[places], carried[places]], bool(len(going)) and bool(len(view.ghosts))
 
     return step
 

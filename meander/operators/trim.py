@@ -26,7 +26,7 @@ def _peeled(graph: Graph, waves: bool, sides: tuple[int, ...], most: int | None
     blocks = Blocks.of(graph)
     if blocks is None:
         return None
-    return blocks.finish(blocks.run(peel_step(waves, sides), None, most), _gone, "v long, wave long", "peeled")
+    return blocks.finish(blocks.run(peel_step(waves, sides, most), None, most), _gone, "v long, wave long", "peeled")
 
 
 def _without(graph: Graph, gone: DataFrame) -> Graph:
