@@ -145,9 +145,32 @@ def _multi_reach_joined(ends: DataFrame, edges: DataFrame, start: DataFrame) ->
     return fixpoint(start.select("v", F.col("v").alias("label")), step, "label", "pairs")
 
 
+#: Rows from which the larger side of both_ways() is filtered, and bits of the filter (a megabyte), by its power of two.
+FILTER_ROWS, FILTER_BITS = 1_000_000, 23
+#: Bits of one bitmap of Spark's.
+BITMAP = 32_768
+
+
 def both_ways(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """(v, label) in both: v and the centre reach each other."""
-    return forward.join(backward, ["v", "label"], "left_semi")
+    """(v, label) in both: v and the centre reach each other.
+
+    The smaller side is looked up by the larger. Where that is large, a bit for each hash of the smaller side, of a fixed
+    number of bits, is sent to all tasks first, so that of the larger side only rows that can match are shuffled.
+    """
+    few, many = (forward, backward) if (a := forward.count()) <= (b := backward.count()) else (backward, forward)
+    if max(a, b) >= FILTER_ROWS:
+        many = possible(many, few, ["v", "label"])
+    return many.join(few, ["v", "label"], "left_semi")
+
+
+def possible(many: DataFrame, few: DataFrame, columns: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of `many` without most of those that have no equal in `few`. The filter has 2**bits bits, whatever the tables."""
+    place = F.xxhash64(*columns).bitwiseAND((1 << bits) - 1)
+    at = place.bitwiseAND(BITMAP - 1)
+    made = few.select(F.shiftright(place, 15).alias("__map"), at.alias("__at")).groupBy("__map").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    rows = many.select("*", F.shiftright(place, 15).alias("__map"), at.alias("__at")).join(F.broadcast(made), "__map")  # 2**bits / 8 bytes
+    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(__at div 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    return rows.where(F.expr("shiftleft(1, CAST(__at % 8 AS INT))").bitwiseAND(byte) != 0).select(*many.columns)
 
 
 def least_ancestor(graph: Graph) -> DataFrame:

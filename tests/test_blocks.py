@@ -130,3 +130,14 @@ def test_edge_list_keeps_order_and_vertices(spark, tmp_path):
     assert text.read_sources(spark, path, 500, 600).isEmpty()
     text.write_edges(Graph.literal(spark, 3, []), str(tmp_path / "none"))
     assert text.read_edges(spark, str(tmp_path / "none")).vertices.count() == 3
+
+
+def test_the_larger_side_is_filtered_before_it_is_joined(spark, monkeypatch):
+    few = spark.range(300).selectExpr("id * 7 AS v", "id % 5 AS label")
+    many = spark.range(40_000).selectExpr("id AS v", "id % 5 AS label")
+    left = reach.possible(many, few, ["v", "label"])
+    expected = {(7 * i, i % 5) for i in range(300)} & {(i, i % 5) for i in range(40_000)}
+    assert expected <= set(map(tuple, left.collect())) and left.count() < len(expected) + 100
+    monkeypatch.setattr(reach, "FILTER_ROWS", 10)
+    for a, b in ((few, many), (many, few)):
+        assert set(map(tuple, reach.both_ways(a, b).collect())) == expected
