@@ -1,7 +1,7 @@
 """Quality rules: an n-gram perplexity with bands by language, beside plain counts of a text.
 
 The language model is a modified Kneser-Ney model of byte n-grams of the order ORDER over the whole text: words are joined
-by one space, runs of digits are one digit, n-grams run across words, and ORDER - 1 spaces stand before the first. Every language has a model of its
+by one space, numbers and rare identifiers are one digit, n-grams run across words, and ORDER - 1 spaces stand before the first. Every language has a model of its
 own, a null language as well. Spark counts the n-grams of all documents (a task counts its own first, so what is shuffled
 is at most a task's distinct n-grams), takes continuation counts, discounts and back-off weights from the counts by
 aggregation, and the probabilities of each order by a join with the order below.
@@ -54,16 +54,25 @@ STEP_BYTES = 500_000
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
-#: A run of digits is one digit to the model: it learns where numbers stand, not which. What is around them stays as it is.
-NUMBER = re.compile(rb"[0-9]+")
+#: A run of digits is one digit to the model, and so is a run of ASCII letters, digits and joining signs with a digit in it:
+#: an identifier or a secret here and there says nothing of a text. Where such runs are over a tenth of a text's bytes, it is
+#: judged by them: only digits are one digit then. So less than a tenth of any text is not looked at.
+DIGITS = re.compile(rb"[0-9]+")
+IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9+/=_.-])[A-Za-z+/=_.-]*+[0-9][A-Za-z0-9+/=_.-]*+")
+MOST_IDENTIFIERS = 0.1
 #: Multipliers of the hash of the arrays (odd, so that n-grams of one language never meet).
 MIX = (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)
 
 
+def without_numbers(raw: bytes) -> bytes:
+    some = sum(map(len, IDENTIFIER.findall(raw)))
+    return (IDENTIFIER if some <= MOST_IDENTIFIERS * len(raw) else DIGITS).sub(b"0", raw) if some else raw
+
+
 def n_grams(texts: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of texts (as words) as numbers, one for each byte and one for the end, and how many each text has."""
     pad = b" " * (order - 1)
-    padded = [pad + NUMBER.sub(b"0", b" ".join(words)) + b" " for words in texts]
+    padded = [pad + without_numbers(b" ".join(words)) + b" " for words in texts]
     raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
     every = np.zeros(len(raw) - order + 1, np.uint64)
     for k in range(order):

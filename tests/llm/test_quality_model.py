@@ -26,7 +26,11 @@ def corpus(seed=1, n=60):
 
 
 def grams_of(text, order):
-    raw = b" " * (order - 1) + re.sub(rb"[0-9]+", b"0", b" ".join(text.encode().split())) + b" "
+    raw = b" ".join(text.encode().split())
+    runs = [r for r in re.findall(rb"[A-Za-z0-9+/=_.-]+", raw) if re.search(rb"[0-9]", r)]
+    few = 10 * sum(map(len, runs)) <= len(raw)
+    raw = re.sub(rb"[A-Za-z0-9+/=_.-]+", lambda m: b"0" if re.search(rb"[0-9]", m[0]) else m[0], raw) if few else re.sub(rb"[0-9]+", b"0", raw)
+    raw = b" " * (order - 1) + raw + b" "
     return [raw[i : i + order] for i in range(len(raw) - order + 1)]
 
 
