@@ -1,10 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
 A text is split at its candidates, so each has its left and right neighbourhood at hand within the row, and nothing is
-shuffled. Features of a candidate are its length, the changes between character classes, the share that dictionary words
-cover, its path-like parts, the path of its document, and the words to its left and right. The forest is trained in numpy on labelled findings (a bounded
-fixture made by rules below, or a table of one's own) whose features the same expressions give, and is then a
-walk over constant arrays of its nodes.
+shuffled but counts of words. Features of a candidate are its length, the changes between character classes, the shares that
+a list of words and the documents' own frequent words cover, its path-like parts, the path of its document, and the words to
+its left and right. The forest is trained in numpy on labelled findings (a bounded fixture made by rules below, or a table of
+one's own) whose features the same expressions give, and is then a walk over constant arrays of its nodes.
 """
 
 from __future__ import annotations
@@ -29,18 +29,35 @@ NAME = rf"(?=[\"']?[ \t]*+[=:])(?<=(?i:{NAMES})s?){SIGN}"
 URL = r"://[^\s/:@\"'`<>]*+:"
 BEARER = r"[Bb](?i:earer|asic)[ \t]++"
 ASSIGNED = r"[^\s\"'`<>,;=:][^\s\"'`<>,;]{7,}+"
-LEAD = rf"^(?:{URL}|{SIGN}|{BEARER})"
+#: Values that an element or its attribute holds, that follow an option or a user on a command line, or that a sentence states.
+ELEMENT = r"[\"']?(?:[ \t]++value[ \t]*+=[ \t]*+[\"']|[ \t]*+>)"
+OPTION = r"--?(?=[A-Za-z])[A-Za-z0-9_-]*+[ \t]++[\"']?"
+USER = r"(?:-u|--user)[ \t=]++[\"']?[^\s:\"'/=]++:(?!/)"
+STATED = r"[ \t]++(?:is|was)(?:[ \t]*+:)?[ \t]++[\"'`]?"
+#: A stated value has a digit, or a capital letter after a small one: without either it is a word of the sentence.
+MIXED = r"(?=[^\s\"'`<>,;=:]*?(?:[0-9]|[a-z][A-Z]))"
+LEAD = rf"^(?:{URL}|{USER}|{OPTION}|{STATED}|{SIGN}|{ELEMENT}|{BEARER})"
+#: These forms with their values; a name is looked up only where the form goes on behind it.
+FORMS = (
+    rf"(?=[\"']?[ \t]*+(?:>|value[ \t=]))(?<=(?i:{NAMES})s?){ELEMENT}{ASSIGNED}(?=</|[\"'])"
+    rf"|(?<!\S)(?:{USER}|(?=--?[A-Za-z0-9_-]*+(?<=(?i:{NAMES})s?)[ \t]){OPTION}){ASSIGNED}"
+    rf"|(?=[ \t]++(?:is|was)[ \t:])(?<=(?i:{NAMES})s?){STATED}{MIXED}{ASSIGNED}"
+)
 #: Known kinds, with or without digits; a JWT with its dots.
 KNOWN = r"eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+)+|A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
 #: Any of these, a run of 16 and more token characters with a digit among them, or one of 20 and more in which small and
 #: capital letters change places twice.
-CANDIDATE = rf"{BLOCK}|{NAME}(?:{BLOCK}|{ASSIGNED})|{URL}[^\s/@\"'`<>]++(?=@)|{BEARER}{TOKEN}{{8,}}+={{0,2}}|(?<!{TOKEN})(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}+={{0,2}}|(?=(?:[A-Z+/_-]*+[a-z+/_-]++[A-Z]){{2}}){TOKEN}{{20,}}+={{0,2}})"
+CANDIDATE = rf"{BLOCK}|{NAME}(?:{BLOCK}|{ASSIGNED})|{FORMS}|{URL}[^\s/@\"'`<>]++(?=@)|{BEARER}{TOKEN}{{8,}}+={{0,2}}|(?<!{TOKEN})(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}+={{0,2}}|(?=(?:[A-Z+/_-]*+[a-z+/_-]++[A-Z]){{2}}){TOKEN}{{20,}}+={{0,2}})"
 BEFORE, AFTER = 40, 24
-TREES, DEPTH, LEAF, SEED, FINDINGS = 15, 7, 4, 11, 3600
+TREES, DEPTH, LEAF, SEED, FINDINGS = 25, 8, 4, 11, 7200
 THRESHOLD = 0.5
 MASK = "<SECRET>"
 
-#: Words that cover identifiers, paths and placeholders, where no dictionary of one's own is given.
+#: Of the documents' words, the most frequent are a dictionary too: at most WORDS of them, each in LEAST documents or more.
+WORDS, LEAST = 2000, 10
+#: A word between words of a sentence: no value, name or part of an identifier.
+WORD = "(?<=[a-z,;] )[a-z]{4,12}(?=[ ,;.\n])"
+#: Words that cover identifiers, paths and placeholders, also within other words and in whatever language the documents are.
 DICTIONARY = (
     "access", "account", "action", "address", "admin", "archive", "array", "asset", "author", "backup", "base", "binary", "block", "branch", "buffer", "build", "button", "cache", "change",
     "changeme", "channel", "check", "class", "client", "cloud", "code", "column", "common", "component", "config", "connection", "content", "context", "control", "cookie", "count", "create",
@@ -58,24 +75,38 @@ SECRET_WORDS = r"(?i)(?<![a-z])(token|secret|passwd|password|passphrase|api|auth
 PLAIN_WORDS = r"(?i)(?<![a-z])(sha|commit|hash|md|uuid|guid|digest|checksum|revision|etag|card|phone|isbn|build|serial|order|invoice|https?|www|id)(?![a-z])"
 FEATURES = (
     "length", "transitions", "transition_share", "dictionary", "digits", "hexadecimal", "slashes", "after_slash", "secret_word", "plain_word", "assigned", "prefix", "block", "test_path", "repeated",
-    "url_password", "secret_after", "plain_after", "closed",
+    "url_password", "secret_after", "plain_after", "closed", "frequent", "named",
 )
 
 
-def features(text: Column, before: Column, after: Column, path: Column, dictionary: tuple[str, ...] = DICTIONARY) -> list[Column]:
-    """FEATURES of a candidate, as doubles."""
+def frequent_words(docs: DataFrame, text: str = "text", n: int = WORDS, least: int = LEAST) -> tuple[str, ...]:
+    """The n words that most documents have, of those that at least `least` have; ties go to the smaller word.
+
+    Words are counted over all whole texts, once a document, and before the shuffle; n words at most come to the driver.
+    Null and empty texts and empty tables have none; a repeated row counts each time.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(docs[text], F.lit(WORD), F.lit(0)))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return tuple(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect())
+
+
+def features(text: Column, before: Column, after: Column, path: Column, dictionary: tuple[str, ...] = DICTIONARY, words: tuple[str, ...] = ()) -> list[Column]:
+    """FEATURES of a candidate, as doubles. Words of `dictionary` count anywhere, those of `words` as whole parts of a name."""
     size = F.char_length(text)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     changes = F.char_length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
     covered = size - F.char_length(F.regexp_replace(F.lower(text), "|".join(sorted(dictionary, key=lambda w: (-len(w), w))), ""))
+    parts = F.transform(F.regexp_extract_all(text, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), F.lower)
+    known = F.aggregate(F.filter(parts, lambda w: w.isin(*words)), F.lit(0), lambda n, w: n + F.char_length(w)) if words else F.lit(0)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     found = [
         F.least(size, F.lit(200)), changes, changes / size, covered / size, F.char_length(F.regexp_replace(text, "[^0-9]", "")) / size,
         flag(text.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.char_length(F.regexp_replace(text, "[^/]", "")), flag(before.rlike(r"[/.@~]$")),
         flag(before.rlike(SECRET_WORDS)), flag(before.rlike(PLAIN_WORDS)), flag(before.rlike(r"[=:]>?\W{0,6}$")),
         flag(text.rlike(f"^({KNOWN})")), flag(text.startswith("-----BEGIN")),
-        flag(path.rlike("(?i)(test|example|fixture|mock|sample)")), F.char_length(F.regexp_replace(text, r"(.)\1+", "$1")) / size,
+        flag(path.rlike("(?i)(test|example|fixture|mock|sample)")), F.char_length(F.regexp_replace(text, r"(?s)(.)\1+", "$1")) / size,
         flag(before.rlike(f"{URL}$")), flag(after.rlike(SECRET_WORDS)), flag(after.rlike(PLAIN_WORDS)), flag(after.rlike(r"^([\s\"'`@]|$)")),
+        known / size, flag(before.rlike(rf"(?i:{NAMES})s?(?:{SIGN}|{ELEMENT}|{STATED}|[ \t]++[\"']?)$|\s(?:{USER})$")),
     ]
     return [c.cast("double").alias(n) for n, c in zip(FEATURES, found, strict=True)]
 
@@ -95,29 +126,46 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
         left = " ".join(word() for _ in range(4)) + one(" ", ". ", "\n", "; ", " - ", ", ")
         right = one('"', "'", "", '",', " #") + " " + word() + " " + word()
         path = one("", "", "", "src/main", "docs", "test/fixtures")
+        def shown(value: str, left: str = left, right: str = right) -> tuple[str, str]:
+            """What stands around a value that is an element's, an option's, or stated."""
+            form, named = rng.integers(4), one(name(), word() + "_" + name()).replace(" ", "-")
+            if form == 0:
+                return one(left, word() + ">\n") + f"<{named}>", f"</{named}>" + word()
+            if form == 1:
+                return left + f'<add key="{named}" value="', '"/> ' + word()
+            if form == 2:
+                return left + word() + one(f" --{named} ", f" -{named} ", f" -u {word()}:", f" --user {word()}:", f" --{named} '"), one(" ", "'", "\n") + word()
+            return left + one("the ", "my ", "our ", "") + named + one(" is ", " is: ", " was ", ' is "'), one(" ", ", ", ".", '"') + word()
+
         sign = one(" = ", "=", ": ", " := ", " => ", ":") + one('"', "'", "")
         if i % 2:
-            kind = rng.integers(7)
+            kind = rng.integers(9)
             if kind == 0:  # known kinds, named or not
-                text, left = one("AKIA" + pick(full[:26] + digits, 16), "ghp_" + pick(full, 36), "sk-" + pick(full, 40), "xoxb-" + pick(digits, 11) + "-" + pick(full, 24), "eyJ" + pick(full, 20) + "." + pick(full + "_-", 40) + "." + pick(full + "_-", 43), "AIza" + pick(full, 35)), one(left, word() + " ", left + name() + sign)
+                text, left = one("AKIA" + pick(full[:26] + digits, 16), "ghp_" + pick(full, 36), "sk-" + pick(full, 40), "xoxb-" + pick(digits, 11) + "-" + pick(full, 24), "eyJ" + pick(full, 20) + "." + pick(full + "_-", 40) + "." + pick(full + "_-", 43), "AIza" + pick(full, 35)), one(left, word() + " ", left + one("id ", "id: ", "serial "), left + name() + sign)
             elif kind == 1:  # passwords, short or of letters alone
                 text = one(pick(full, rng.integers(8, 16)), pick(full[:52], rng.integers(8, 30)), pick(full + "!@#$%^&*", rng.integers(8, 16)), pick(full[26:52], rng.integers(8, 24)), one(*DICTIONARY).title() + pick(digits, rng.integers(2, 5)) + one("!", "#", "$"))
                 left += name() + sign
             elif kind == 2:  # key blocks
                 of, head = one(("RSA ", ""), ("", ""), ("OPENSSH ", ""), ("EC ", ""), ("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexes.upper(), 32) + "\n\n"), ("PGP ", "Version: GnuPG v2\n\n"))
                 kind_of = of + "PRIVATE KEY" + (" BLOCK" if of == "PGP " else "")
-                text, left, right = f"-----BEGIN {kind_of}-----\n" + head + pick(full, one(200, 300, 900)) * one(1, 1, 5) + f"\n-----END {kind_of}-----", one(left, word() + "\n", word() + " ", "", left + name() + sign), one("\n", " ", "")
+                text, left, right = f"-----BEGIN {kind_of}-----\n" + head + pick(one(full, full[:26] + full[:26] + full), one(17, 200, 300, 900)) * one(1, 5, 20) + f"\n-----END {kind_of}-----", one(left, word() + "\n", word() + " ", "", left + name() + sign), one("\n", " ", "")
             elif kind == 3:  # passwords in URLs
                 text = one(pick(full, rng.integers(6, 24)), pick(full[26:52], rng.integers(6, 14)) + pick(digits, rng.integers(0, 4)), pick(full + "!$%^&*", rng.integers(6, 16)))
                 left, right = left + one("postgres", "mysql", "https", "amqp", "redis", "mongodb+srv") + "://" + one(word(), "", "admin", "root") + ":", "@" + word() + one(".com", "", ":5432") + "/" + word()
             elif kind == 4:  # headers, with or without the name
                 text, left = pick(full + "_-", rng.integers(20, 60)), left + one("Authorization: Bearer ", "bearer ", "Authorization: Basic ", "-H 'X-Api-Key: ", "Bearer ")
+            elif kind == 5:  # passwords and tokens in elements, on command lines and in sentences
+                text = one(pick(full, rng.integers(8, 16)), word() + pick(digits, rng.integers(1, 4)) + pick(full, 5) + one("", "!", "&"), pick(full + "!@#$%^&*", rng.integers(8, 16)), pick(full, rng.integers(16, 44)), pick(hexes, one(16, 32, 40)))
+                left, right = shown(text)
             else:  # assigned random tokens
                 text = one(pick(hexes, one(32, 40, 64)), pick(hexes, rng.integers(10, 65)), pick(hexes, 40).upper(), pick(full, rng.integers(16, 64)), pick(full + "+/", 43) + "=", pick(full + "_-", rng.integers(24, 48)), pick(full[:52], rng.integers(20, 40)))
                 left += one(name(), word() + "_" + name()) + one(sign, sign, " ", " is ")
         else:
-            kind = rng.integers(10)
-            if kind == 0:  # card and account numbers
+            kind = rng.integers(11)
+            if kind == 10:  # names, places and versions in elements, on command lines and in sentences
+                text = one(names(2) + pick(digits, 1), names(2).upper() + pick(digits, 1), "${" + names(2).upper() + "}", "$" + names(2).upper(), one(*DICTIONARY) + one(*DICTIONARY).title() + one(*DICTIONARY).title(), "v" + ".".join(pick(digits, 2) for _ in range(3)), "-".join((pick(digits, 4), pick(digits, 2), pick(digits, 2))), one(*DICTIONARY) + "-" + one(*DICTIONARY) + "-" + pick(digits, 1), "/" + one(*DICTIONARY) + "/" + one(*DICTIONARY) + pick(digits, 2), one(*DICTIONARY).ljust(8, "s") + pick(digits, 1), "your-" + one(*DICTIONARY) + pick(digits, 1), pick(digits, 4) + ":" + pick(digits, 4), (word() + word()).ljust(8, "e"), (word() + word()).title().ljust(8, "e"))
+                left, right = shown(text)
+            elif kind == 0:  # card and account numbers
                 text = pick(digits, rng.integers(16, 20))
                 left += one("", "card ", "order ", "")
             elif kind == 1:
@@ -219,21 +267,22 @@ def vote(forest: list, row: Column) -> Column:
     return F.aggregate(fixed(roots, "int"), F.lit(0.0), lambda total, root: total + F.get(value, leaf(root))) / len(forest)
 
 
-_forests: dict[str, list] = {}
+_forests: dict[tuple[str, ...], list] = {}
 
 
-def train(findings: DataFrame) -> list:
+def train(findings: DataFrame, words: tuple[str, ...] = ()) -> list:
     """A forest from labelled findings: text, before, after, path, label. The table is a bounded training set: the driver reads it."""
-    rows = findings.select(*features(F.col("text"), F.col("before"), F.col("after"), F.coalesce(F.col("path"), F.lit(""))), F.col("label").cast("int").alias("label")).collect()
+    rows = findings.select(*features(F.col("text"), F.col("before"), F.col("after"), F.coalesce(F.col("path"), F.lit("")), words=words), F.col("label").cast("int").alias("label")).collect()
     table = np.array([tuple(r) for r in rows], np.float64)
     table = table[np.lexsort(table.T)]
     return fit(table[:, :-1], table[:, -1])
 
 
-def default_forest(spark: SparkSession) -> list:
-    if "default" not in _forests:
-        _forests["default"] = train(findings_table(spark, _default_findings()))
-    return _forests["default"]
+def default_forest(spark: SparkSession, words: tuple[str, ...] = ()) -> list:
+    if words not in _forests:
+        _forests.clear()
+        _forests[words] = train(findings_table(spark, _default_findings()), words)
+    return _forests[words]
 
 
 @lru_cache
@@ -244,13 +293,16 @@ def _default_findings() -> list[dict]:
 PARTS, FOUND, SCORED, LEADS = "__secret_parts", "__secret_found", "__secret_scored", "__secret_leads"
 
 
-def scored(docs: DataFrame, text: str = "text", path: str | None = None, forest: list | None = None) -> DataFrame:
+def scored(docs: DataFrame, text: str = "text", path: str | None = None, forest: list | None = None, words: tuple[str, ...] | None = None) -> DataFrame:
     """The rows with PARTS (what lies between candidates), FOUND (candidates) and SCORED (their probabilities).
 
-    Null and empty texts have no candidates and come through unchanged; a null path is empty; texts of any length are
+    Where no `words` are given they are counted in the documents (`frequent_words`); a forest of one's own has been trained
+    with the words that are given here. Null and empty texts have no candidates and come through unchanged; a null path is empty; texts of any length are
     searched whole.
     """
-    forest = forest or default_forest(docs.sparkSession)
+    if words is None:
+        words = () if forest else frequent_words(docs, text)
+    forest = forest or default_forest(docs.sparkSession, words)
     where = F.coalesce(docs[path].cast("string"), F.lit("")) if path else F.lit("")
     whole = F.coalesce(F.regexp_extract_all(docs[text], F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
     out = docs.withColumn(FOUND, whole)
@@ -259,14 +311,15 @@ def scored(docs: DataFrame, text: str = "text", path: str | None = None, forest:
     parts = F.zip_with(F.split(F.col(text), CANDIDATE, -1), LEADS, lambda p, named: F.concat(p, F.coalesce(named, F.lit(""))))
     values = F.zip_with(FOUND, LEADS, lambda m, named: F.substr(m, F.char_length(named) + 1))
     out = out.withColumns({PARTS: F.when(F.size(FOUND) > 0, parts), FOUND: values})
-    near = F.transform(FOUND, lambda m, i: F.array(*features(m, F.right(F.get(F.col(PARTS), i), F.lit(BEFORE)), F.left(F.get(F.col(PARTS), i + 1), F.lit(AFTER)), where)))
+    near = F.transform(FOUND, lambda m, i: F.array(*features(m, F.right(F.get(F.col(PARTS), i), F.lit(BEFORE)), F.left(F.get(F.col(PARTS), i + 1), F.lit(AFTER)), where, words=words)))
     return out.withColumn(SCORED, F.transform(near, lambda x: vote(forest, x)))
 
 
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, forest: list | None = None) -> DataFrame:
     """One row per secret: key, ordinal among the row's candidates, start and length in code points, score, secret_sha256.
 
-    The secret itself is not given. Repeated rows give repeated findings.
+    The secret itself is not given. Repeated rows give repeated findings; null and empty texts and empty tables give none.
+    Further columns, whatever their names, are not read.
     """
     some = scored(docs.select(*dict.fromkeys([key, text, *([path] if path else [])])), text, path, forest)
     # A candidate starts after all parts and candidates before it; each part is measured with the candidate that follows it.

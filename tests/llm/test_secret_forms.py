@@ -35,6 +35,13 @@ SECRETS = {
     "bearer": lambda: ("curl -H 'Authorization: Bearer {}' x", r(44)),
     "late digit": lambda: ("token={}", r(80, string.ascii_letters) + "7" + r(5)),
     "mixed letters": lambda: ("our token {} works", r(32, string.ascii_letters)),
+    "element": lambda: ("<user>bob</user><password>{}</password>", r(7) + "9!q"),
+    "attribute": lambda: ('<add key="DbPassword" value="{}" />', r(12) + "4x"),
+    "option": lambda: ("mysql --password {} -h db", r(10) + "7k"),
+    "long option": lambda: ("deploy --api-key '{}' --now", r(24) + "3a"),
+    "user": lambda: ("curl -u svc:{} https://example.org", r(11) + "5Z"),
+    "stated": lambda: ("the password is {}, keep it", r(9) + "0r&3x"),
+    "stated token": lambda: ("our api key was {} before", r(30) + "1b"),
 }
 PLAIN = {
     "commit": lambda: f"commit {r(40, HEX)} fixes it",
@@ -46,6 +53,11 @@ PLAIN = {
     "placeholder": lambda: 'password = "your-password-here"',
     "variable": lambda: "token: ${SERVICE_TOKEN_NAME}",
     "word": lambda: "theorderingoftheablest23 ing the",
+    "sentence": lambda: "the password is required and the token was rejected, the secret is understanding",
+    "variable option": lambda: "run --token $SERVICE_TOKEN --password ${DB_PASSWORD} now",
+    "file option": lambda: f"run --password-file /etc/service/auth{r(1, string.digits)}.txt now",
+    "element of a name": lambda: "<token>${SERVICE_TOKEN_NAME}</token>",
+    "numbers": lambda: f"docker run -u 1000:{r(4, string.digits)} image",
 }
 EACH = 30
 
@@ -85,6 +97,87 @@ def test_both_sides_and_the_path_count(spark):
     assert by["secret_after"] == by["plain_after"] == by["closed"] == by["test_path"] == 1 and by["secret_word"] == 0
 
 
+def plain(text, before, after, path, words):
+    """FEATURES by loops over characters and parts."""
+    import re
+
+    def kind(c):
+        return next((k for k, of in (("a", string.ascii_lowercase), ("A", string.ascii_uppercase), ("0", string.digits)) if c in of), "-")
+
+    def unrepeated(of):
+        return sum(i == 0 or of[i] != of[i - 1] for i in range(len(of)))
+
+    low, i, covered = text.lower(), 0, 0
+    while i < len(low):
+        longest = max((len(w) for w in secret_scan.DICTIONARY if low.startswith(w, i)), default=0)
+        covered, i = covered + longest, i + max(1, longest)
+    parts, part = [], ""
+    for c in text:
+        k = kind(c)
+        if k not in "aA" or (part and k == "A" and part[-1].islower()):
+            parts.append(part)
+            part = ""
+        if k in "aA":
+            if len(part) > 1 and k == "a" and part.isupper():
+                parts.append(part)
+                part = ""
+            part += c
+    parts.append(part)
+    n, changes = len(text), unrepeated([kind(c) for c in text]) - 1
+    has = lambda pattern, of: float(bool(re.search(pattern, of)))
+    hexes = all(c in "0123456789abcdef" for c in text) or all(c in "0123456789ABCDEF" for c in text)
+    return [
+        min(n, 200), changes, changes / n, covered / n, sum(c in string.digits for c in text) / n, float(hexes), text.count("/"), float(before[-1:] in tuple("/.@~")),
+        has(secret_scan.SECRET_WORDS, before), has(secret_scan.PLAIN_WORDS, before), has(r"[=:]>?[^A-Za-z0-9_]{0,6}$", before), has(f"^({secret_scan.KNOWN})", text),
+        float(text.startswith("-----BEGIN")), has("(?i)(test|example|fixture|mock|sample)", path), unrepeated(text) / n, has(r"://[^\s/:@\"'`<>]*:$", before), has(secret_scan.SECRET_WORDS, after),
+        has(secret_scan.PLAIN_WORDS, after), float(not after or after[0] in " \t\n\"'`@"), sum(len(p) for p in parts if p.lower() in words) / n,
+    ]
+
+
+def test_features_are_those_of_plain_loops(spark):
+    from pyspark.sql import functions as F
+
+    words = ("thing", "uni", "ordinary", "est", "tone", "made")
+    findings = secret_scan.labelled_findings(400, seed=8)
+    for i, text in enumerate(("madeThing-ToneTONEtone9", "ordinary_made_thing_12345", "UniThingTONE0", "x")):
+        findings.append(findings[i] | {"text": text})
+    rows = secret_scan.findings_table(spark, findings)
+    x = F.array(*secret_scan.features(F.col("text"), F.col("before"), F.col("after"), F.col("path"), words=words))
+    for row in rows.select("text", "before", "after", "path", x.alias("x")).collect():
+        assert row["x"][:-1] == pytest.approx(plain(row["text"], row["before"], row["after"], row["path"], words)), row
+
+
+def test_every_secret_is_a_candidate_at_its_place(spark):
+    """With a forest that takes all candidates, findings are those that were planted: no other text, no part of one."""
+    rows, planted = [], {}
+    for form, make in SECRETS.items():
+        if form == "ruby":
+            continue
+        frame, secret = make()
+        text = around(frame.format(secret))
+        planted[len(rows)] = [(text.index(secret), len(secret))]
+        rows.append((len(rows), text))
+    several = "the password is aB3dE5gH7j, <token>zY9xW8vU7t</token> --secret qP0oI9uY8t -u me:hJ6kL5mN4b x"
+    planted[len(rows)] = [(several.index(s), 10) for s in ("aB3dE5gH7j", "zY9xW8vU7t", "qP0oI9uY8t", "hJ6kL5mN4b")]
+    rows.append((len(rows), several))
+    harmless = "the password is understanding; <b>token</b> and <secret/> --verbose understanding -understanding -u me you"
+    planted[len(rows)] = []
+    rows += [(len(rows), harmless), (len(rows) + 1, ""), (len(rows) + 2, None)]
+    found = {}
+    for x in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string"), forest=[1.0]).collect():
+        found.setdefault(x["doc_id"], []).append((x["start"], x["length"]))
+    assert found == {k: v for k, v in planted.items() if v}
+
+
+def test_frequent_words_are_counted_once_a_document(spark):
+    texts = ["we met a long river, and river again"] * 12 + ["they saw some house here"] * 9 + ["password: abcdefgh is xyz=plainword and key-word now"] * 20 + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secret_scan.frequent_words(docs) == ("long", "river")
+    assert secret_scan.frequent_words(docs, least=9) == ("long", "river", "house", "some")
+    assert secret_scan.frequent_words(docs, n=1) == ("long",)
+    assert secret_scan.frequent_words(docs.where("false")) == ()
+
+
 def walked(forest, x):
     total = 0.0
     for node in forest:
