@@ -1,4 +1,4 @@
-"""Secrets and harmless tokens by form, in surroundings that the training findings do not have."""
+"""Secrets and harmless tokens by form; from "element" on, surroundings are like those of the training findings."""
 
 import random
 import string
