@@ -141,3 +141,24 @@ def test_the_larger_side_is_filtered_before_it_is_joined(spark, monkeypatch):
     monkeypatch.setattr(reach, "FILTER_ROWS", 10)
     for a, b in ((few, many), (many, few)):
         assert set(map(tuple, reach.both_ways(a, b).collect())) == expected
+
+
+def test_waves_cost_a_superstep_a_border(spark, monkeypatch):
+    """A long strip has hundreds of waves, which blocks go through by themselves; a superstep a wave took as many supersteps."""
+    monkeypatch.setattr(blocks, "LEAST_EDGES", 1 << 9)
+    made = blocks.Blocks.of(generators.lattice(spark, 400, 3))
+    state = made.run(blocks.waves_step(), None)
+    found = {r["v"]: r["wave"] for r in made.rows_of(state, trim._wave_of, "v long, wave long", "peeled").collect()}
+    assert found == {v: min(v // 3 + v % 3, 401 - v // 3 - v % 3) + 1 for v in range(1200)}
+    assert 2 < state.count() and made.steps <= state.count() + 2
+    made.close()
+
+
+def test_waves_with_corrections(spark, monkeypatch):
+    """News that comes late makes waves earlier; loops and repeated edges count as edges."""
+    monkeypatch.setattr(blocks, "LEAST_EDGES", 8)
+    for seed in range(4):
+        edges = [tuple(map(int, e)) for e in np.random.default_rng(seed).integers(0, 40, (44, 2))]
+        edges += [edges[0], (3, 3)]
+        found = {r["v"]: r["wave"] for r in trim.trim(Graph.literal(spark, 40, edges))[1].collect()}
+        assert found == peeled(40, edges)
