@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from meander.graph import Graph
-from meander.operators import blocks, local, partition, reach, trim
+from meander.operators import blocks, local, pairs, partition, reach, trim
 from meander.operators.scc import scc
 from meander.sources import generators, text
 
@@ -162,3 +162,14 @@ def test_waves_with_corrections(spark, monkeypatch):
         edges += [edges[0], (3, 3)]
         found = {r["v"]: r["wave"] for r in trim.trim(Graph.literal(spark, 40, edges))[1].collect()}
         assert found == peeled(40, edges)
+
+
+def test_pairs_by_components(spark, layout, monkeypatch):
+    monkeypatch.setattr(pairs, "CHUNK", 3)
+    graph, n, edges = random_graph(spark, 1)
+    down = [set(levels(n, edges, v)) for v in range(n)]
+    centres = graph.vertices.where("v % 3 = 1")
+    expected = sorted((w, v) for v in range(1, n, 3) for w in down[v])
+    assert sorted(map(tuple, pairs.reached(graph, centres).collect())) == expected
+    assert sorted(map(tuple, pairs.mutual(graph, centres).collect())) == [(w, v) for w, v in expected if v in down[w]]
+    assert sorted(map(tuple, pairs.totals(graph, graph.vertices).collect())) == [(v, len(down[v]), sum(down[v])) for v in range(n)]
