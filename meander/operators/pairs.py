@@ -17,6 +17,8 @@ from .scc import FEW, scc
 
 #: Vertices that one row of a component's members or centres may hold, about.
 CHUNK = 1_000
+#: Edges, both ways counted, of a graph of components that is one block: a pass over it with 1,024 centres is one superstep.
+WHOLE = 4_000_000
 #: Tasks at least, and at most, among which the members of a large component are dealt.
 TASKS, SALTS = 64, 256
 
@@ -31,7 +33,7 @@ def _searched(graph: Graph, centres: DataFrame) -> tuple[DataFrame, DataFrame, D
     ends = [labels.select(F.col("v").alias(end), F.col("scc").alias(f"{end}_scc")) for end in ("src", "dst")]
     between = graph.edges.join(ends[0], "src").join(ends[1], "dst").where("src_scc <> dst_scc").select(F.col("src_scc").alias("src"), F.col("dst_scc").alias("dst")).distinct()
     acyclic = Graph(labels.where("v = scc").select("v"), stash(between, "edges"))
-    found = multi_reach(acyclic, own.select(F.col("centre").alias("v")).distinct())
+    found = multi_reach(acyclic, own.select(F.col("centre").alias("v")).distinct(), whole=WHOLE)
     return labels, found.select(F.col("v").alias("scc"), F.col("label").alias("centre")), own, own.count() <= FEW
 
 
