@@ -166,6 +166,8 @@ def test_waves_with_corrections(spark, monkeypatch):
 
 def test_pairs_by_components(spark, layout, monkeypatch):
     monkeypatch.setattr(pairs, "CHUNK", 3)
+    if layout == "many":
+        monkeypatch.setattr(pairs, "WHOLE", 0)
     graph, n, edges = random_graph(spark, 1)
     down = [set(levels(n, edges, v)) for v in range(n)]
     centres = graph.vertices.where("v % 3 = 1")
