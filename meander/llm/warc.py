@@ -143,17 +143,23 @@ def base32(sha1_hex: F.Column) -> F.Column:
 FIELD = re.compile(rb"([\w-]+): ?([^\r\n]*)\r\n")
 
 
+#: Bytes that a decompressor is given at a time: what it does not use of them it copies, so the rest of a file would be too much.
+WINDOW = 1 << 15
+
+
 def members(raw: bytes) -> Iterator[tuple[bytes, int]]:
     """(contents, place) of each gzip member of a file that is not empty; one at a time."""
-    at = 0
-    while at < len(raw):
-        press = zlib.decompressobj(31)
-        found = press.decompress(memoryview(raw)[at:])
-        if not press.eof:
-            raise ValueError(f"a member that does not end, at {at}")
-        if found:
-            yield found, at
-        at = len(raw) - len(press.unused_data)
+    whole, at = memoryview(raw), 0
+    while at < len(whole):
+        press, found, begun = zlib.decompressobj(31), [], at
+        while not press.eof:
+            part = whole[at : at + WINDOW]
+            if not len(part):
+                raise ValueError(f"a member that does not end, at {begun}")
+            found.append(press.decompress(part))
+            at += len(part) - len(press.unused_data)
+        if contents := b"".join(found):
+            yield contents, begun
 
 
 def records(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, int]]:
@@ -169,7 +175,7 @@ def records(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, int]]:
 
 def record_at(raw: bytes, place: int) -> tuple[dict[bytes, bytes], bytes]:
     """(head, block) of the record whose member starts at `place` of an archive file."""
-    fields, block, _ = next(records(zlib.decompressobj(31).decompress(memoryview(raw)[place:])))
+    fields, block, _ = next(records(next(members(memoryview(raw)[place:]))[0]))
     return fields, block
 
 

@@ -82,3 +82,30 @@ def test_last_byte_of_a_member():
     large = bytes(1 << 24)
     found = warc.member(large)
     assert found[-1] == 0 and zlib.decompressobj(31).decompress(found) == large and [len(x) for x, _ in warc.members(found)] == [1 << 24]
+
+
+def test_members_of_a_file_are_read_once(monkeypatch):
+    """A decompressor copies what it does not use: given all of the rest each time, a file costs the square of its size."""
+    rng = random.Random(5)
+    texts = [rng.randbytes(n) for n in [0, 1, 500, 100_000, 70_000] * 40]
+    raw, wanted = b"", []
+    for text in texts:
+        wanted += [(text, len(raw))] if text else []
+        raw += warc.member(text)
+    plain, given_bytes = zlib.decompressobj, []
+
+    class Counted:
+        def __init__(self, bits):
+            self.press = plain(bits)
+
+        def decompress(self, part):
+            given_bytes.append(len(part))
+            return self.press.decompress(part)
+
+        eof, unused_data = property(lambda self: self.press.eof), property(lambda self: self.press.unused_data)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert list(warc.members(raw)) == wanted
+    assert sum(given_bytes) < 2 * len(raw) + (1 << 16) * len(texts)
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc.members(raw[:-1]))
