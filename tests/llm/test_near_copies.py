@@ -81,3 +81,16 @@ def test_crowd_of_edited_copies(spark):
                 parent = [min(a, b) if p in (a, b) else p for p in parent]
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, enumerate(texts)), "").select("doc_id").collect()}
     assert kept == set(parent) and len(kept) > 1
+
+
+def test_texts_of_common_passages_only(spark):
+    """Pairs of the same passages in two orders: all but their seams is in very many texts, so that sketches share what is common only."""
+    rng = np.random.default_rng(5)
+    passages = [[f"p{i}x{x}" for x in rng.integers(0, 5000, 300)] for i in range(20)]
+    texts = []
+    for _ in range(100):
+        chosen = rng.choice(20, 6, replace=False)
+        texts += [" ".join(w for i in order for w in passages[i]) for order in (chosen, chosen[::-1])]
+    near = [(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() <= simhash.THRESHOLD for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, enumerate(texts)), "").select("doc_id").collect()}
+    assert sum(near) > 50 and not [k for k, n in enumerate(near) if n and {2 * k, 2 * k + 1} <= kept]
