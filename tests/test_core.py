@@ -49,3 +49,13 @@ def test_a_search_that_ends_early_only_leaves_more(spark, monkeypatch):
     monkeypatch.setattr(core, "TAIL", 0.9)
     src, dst = dense(600, 10, 5, 30)
     assert (labels_of(spark, 600, src, dst) == local.labels_of(600, src, dst)).all()
+
+
+def test_the_bulk_is_in_no_block(spark, monkeypatch):
+    """One block had all edges of the vertex that stands for the bulk, so a task's memory grew with the graph."""
+    src, dst = dense(600, 10, 6, 30)
+    most, of = [], Blocks.of.__func__
+    monkeypatch.setattr(Blocks, "of", classmethod(lambda cls, graph, whole=0: most.append(max((r["count"] for end in ("src", "dst") for r in graph.edges.groupBy(end).count().collect()), default=0)) or of(cls, graph, whole)))
+    monkeypatch.setattr(scc, "GIANT_EDGES", 1)
+    assert (labels_of(spark, 600, src, dst) == local.labels_of(600, src, dst)).all()
+    assert len(most) > 1 and max(most[1:]) < 12
