@@ -33,3 +33,17 @@ def test_a_bulk_that_is_not_there_or_far_changes_nothing(spark, monkeypatch, pas
     assert (labels_of(spark, 120, src, dst) == np.arange(120) // 10 * 10).all()
     src, dst = dense(600, 10, 9, 30)
     assert (labels_of(spark, 600, src, dst) == local.labels_of(600, src, dst)).all()
+
+
+def test_a_search_that_has_found_the_most_goes_on(spark, monkeypatch):
+    """600 vertices that all reach each other, and a way of 6 more: all passes but the last few find the most."""
+    for edges in ("GIANT_EDGES", "BULK_EDGES"):
+        monkeypatch.setattr(scc, edges, 1)
+    monkeypatch.setattr(bulk, "PASSES", 5)
+    src, dst = dense(600, 10, 10)
+    way = np.arange(599, 606)
+    src, dst = np.r_[src, way], np.r_[dst, way[1:], 0]
+    passed, one = [], bulk._pass
+    monkeypatch.setattr(bulk, "_pass", lambda edges, words: passed.append(1) or one(edges, words))
+    assert (labels_of(spark, 606, src, dst) == 0).all()
+    assert len(passed) > 5
